@@ -103,3 +103,11 @@ def daily_vectors(utt: DataFrame) -> DataFrame:
         F.when(among("angry", "neutral", "fearful") > 0, F.sum(dur) * 10 / 36).alias("daily_activity"),
         F.when(F.sum(F.when(F.col("emotion") != "sad", 1).otherwise(0)) > 0, hours).alias("social_turns"),
     )
+
+
+def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
+    """The event table as a stream, with the columns of ``events``."""
+    schema = table(spark, folder, "events").schema
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+           .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    return with_event_columns(raw)
