@@ -40,8 +40,9 @@ def rounded(col: Column, digits: int, on: bool = True) -> Column:
 
 
 def strip_tags(col: Column | str) -> Column:
-    """Drop ``<...>`` runs and surrounding white space."""
-    return F.regexp_replace(F.regexp_replace(col, r"<[^>]+>", ""), r"^\s+|\s+$", "")
+    """Drop ``<...>`` runs and surrounding white space of any script."""
+    blank = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
+    return F.regexp_replace(F.regexp_replace(col, r"<[^>]+>", ""), f"^{blank}|{blank}$", "")
 
 
 def emotion_of(col: Column | str) -> Column:
