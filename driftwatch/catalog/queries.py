@@ -549,9 +549,10 @@ def sliding_4h(spark, d):
 
 @query
 def front_end_counters(spark, d):
-    """Chunks of one person and hour, with their utterances."""
-    u = _utterances(spark, d).withColumn("chunk_ts", F.date_trunc("hour", "ts"))
-    chunks = u.groupBy(KEY, "chunk_ts").agg(F.collect_list(F.struct("event_id", "duration_sec")).alias("utterances"))
+    """Each event as a chunk with one utterance, or two if it is long."""
+    one = F.struct(F.col("duration_sec"))
+    chunks = _utterances(spark, d).select(KEY, F.when(F.col("duration_sec") > 5, F.array(
+        one, F.struct((F.col("duration_sec") / 2).alias("duration_sec")))).otherwise(F.array(one)).alias("utterances"))
     return tidy(live.counters(chunks))
 
 
