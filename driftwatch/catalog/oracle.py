@@ -14,6 +14,7 @@ from driftwatch.operators.alerts import MESSAGES, ROUTES, executed_actions
 from driftwatch.config import LEVEL_LABELS, LEVEL_NAMES
 
 WSUM = sum(WEIGHTS.values())
+TIE_SHIFT = 3.3e-8
 LABEL_CASE = "CASE risk_level " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in LEVEL_LABELS.items()) + " END"
 
 
@@ -22,8 +23,8 @@ def fs(template: str, sep: str = ", ") -> str:
 
 
 def r(expr: str, name: str | None = None) -> str:
-    """Six digits, without negative zero."""
-    return f"round({expr}, 6) + 0.0 AS {name or expr}"
+    """Six digits as in ``queries.tidy``, without negative zero."""
+    return f"round({expr} + {TIE_SHIFT}::DOUBLE, 6) + 0.0 AS {name or expr}"
 
 
 def weighted(template: str) -> str:
@@ -600,7 +601,7 @@ oracle("quality_summary", f"""
 SELECT elder_id, count(*) FILTER (data_quality = 'valid') AS valid_days, count(*) FILTER (data_quality = 'insufficient') AS insufficient_days,
   count(*) FILTER (data_quality = 'offline') AS offline_days, count(*) AS total_days,
   {r("count(*) FILTER (data_quality = 'valid') / count(*)", "valid_ratio")} FROM days GROUP BY 1""")
-CTES["seq_long"] = f"UNPIVOT INCLUDE NULLS (SELECT elder_id, date, {fs('{f}')} FROM spine) ON {fs('{f}')} INTO NAME feature VALUE x"
+CTES["seq_long"] = " UNION ALL ".join(f"SELECT elder_id, date, '{f}' AS feature, {f} AS x FROM spine" for f in FEATURES)
 CTES["seq_n"] = """
 SELECT *, row_number() OVER (PARTITION BY elder_id, feature ORDER BY date) AS n,
   count(*) OVER (PARTITION BY elder_id, feature) AS len FROM seq_long"""
@@ -681,8 +682,8 @@ _some, _rows = "names <> ''", ", ".join(r(c) for c in ("anomaly_score", "static_
 for _q, _p in (("daily_results", "std"), ("daily_results_sensitive", "low")):
     oracle(_q, f"""
 SELECT {KD}, data_quality, CAST(missing_count AS BIGINT) AS missing_count, status, {_rows}, is_deviation, in_observation_period,
-  CAST(ewma_n AS BIGINT) AS ewma_n, {r('ewma_mean')}, {r('ewma_std')}, judged_streak, consecutive_deviation_days, reported_streak,
-  {r('avg_anomaly_7d')}, {r('max_anomaly_7d')}, risk_level, {LABEL_CASE} AS risk_label, risk_types,
+  {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ('ewma_n', 'judged_streak', 'consecutive_deviation_days', 'reported_streak', 'risk_level'))},
+  {r('ewma_mean')}, {r('ewma_std')}, {r('avg_anomaly_7d')}, {r('max_anomaly_7d')}, {LABEL_CASE} AS risk_label, risk_types,
   CASE WHEN status = 'success' THEN {advice('risk_level', _some, 'comma', 'names', 'judged_streak')} END AS recommendation,
   {', '.join(r(f'res_{f}') for f in FEATURES)} FROM {_p}_final""")
 _judged = f"""{KD}, {r('anomaly_score')}, is_deviation, {r('avg_anomaly_7d')}, {r('max_anomaly_7d')}, judged_streak,

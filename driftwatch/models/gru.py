@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from driftwatch.config import DAY, DEFAULTS, FEATURES, KEY, Settings
 from driftwatch.functions.text import add, each
-from driftwatch.operators.baseline import finish_baseline, merge_residual_stats
+from driftwatch.operators.baseline import RESIDUAL_STATS, blend_stats, finish_baseline, static_threshold
 
 D = len(FEATURES)
 IMPROVED_BY = 1e-6       # fixed value: smallest drop of the loss that counts
@@ -29,6 +29,7 @@ _ARR = T.ArrayType(T.DoubleType())
 _FITTED = [("weights", _ARR), ("resid_mean", _ARR), ("resid_std", _ARR), ("signed_mean", _ARR), ("signed_std", _ARR),
            ("train_scores", _ARR), ("first_loss", T.DoubleType()), ("best_loss", T.DoubleType()),
            ("epochs_run", T.IntegerType())]
+_CONSUMED = ("rows", "seed", "start")
 
 
 def shapes(hidden: int) -> list[tuple[int, ...]]:
@@ -187,15 +188,17 @@ def _trainer(s: Settings, finetune: bool):
                     out.append((list(theta[p]), list(size.mean(0)), list(size.std(0)), list(signed.mean(0)),
                                 list(signed.std(0)), list(size @ share), first[p], best[p], int(ran[p])))
                 fitted = pd.DataFrame(out, columns=[n for n, _ in _FITTED])
-                yield pd.concat([part[[KEY]].reset_index(drop=True), fitted], axis=1)
+                passed = part.drop(columns=[c for c in _CONSUMED if c in part])
+                yield pd.concat([passed.reset_index(drop=True), fitted], axis=1)
 
     return run
 
 
 def _fit_people(people: DataFrame, s: Settings, finetune: bool) -> DataFrame:
-    schema = T.StructType([people.schema[KEY]] + [T.StructField(n, t) for n, t in _FITTED])
-    cols = [KEY, "rows", "seed"] + (["start"] if finetune else [])
-    return people.select(*cols).mapInPandas(_trainer(s, finetune), schema)
+    """Train every row's person; the other columns of the row come out again beside the fit."""
+    passed = [f for f in people.schema.fields if f.name not in _CONSUMED]
+    schema = T.StructType(passed + [T.StructField(n, t) for n, t in _FITTED])
+    return people.mapInPandas(_trainer(s, finetune), schema)
 
 
 def _matrix(norm: str) -> Column:
@@ -216,9 +219,8 @@ def train(marked_windows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
         F.expr(f"array({', '.join(each('max(mean_{f})'))})").alias("scaler_mean"),
         F.expr(f"array({', '.join(each('max(scale_{f})'))})").alias("scaler_scale"),
     ).withColumn("seed", F.xxhash64(KEY))
-    fitted = _fit_people(people, s, False)
-    joined = people.drop("rows", "seed").join(fitted, KEY).withColumn("n_windows", F.size("train_scores").cast("long"))
-    return finish_baseline(joined, F.col("train_scores"), "gru", s).withColumn("hidden_dim", F.lit(s.hidden))
+    fitted = _fit_people(people, s, False).withColumn("n_windows", F.size("train_scores").cast("long"))
+    return finish_baseline(fitted, F.col("train_scores"), "gru", s).withColumn("hidden_dim", F.lit(s.hidden))
 
 
 def finetune(recent_days: DataFrame, baselines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -228,19 +230,21 @@ def finetune(recent_days: DataFrame, baselines: DataFrame, s: Settings = DEFAULT
     EWMA state at training is carried over.
     """
     base = baselines.filter(F.col("model") == "gru")
-    joined = recent_days.join(base.select(KEY, "scaler_mean", "scaler_scale", "weights"), KEY)
+    others = [c for c in base.columns if c != KEY]
+    joined = recent_days.join(base.select(KEY, F.struct(*others).alias("old")), KEY)
     people = joined.groupBy(KEY).agg(
-        _matrix("({f} - scaler_mean[{i}]) / scaler_scale[{i}]").alias("rows"), F.first("weights").alias("start"),
-        F.max(DAY).alias("tuned_on")).withColumn("seed", F.xxhash64(KEY))
+        _matrix("({f} - old.scaler_mean[{i}]) / old.scaler_scale[{i}]").alias("rows"), F.first("old").alias("old"),
+        F.max(DAY).alias("tuned_on"),
+    ).selectExpr(KEY, "rows", "tuned_on", "old.weights AS start", f"xxhash64({KEY}) AS seed",
+                 *[f"old.{c} AS old_{c}" for c in others])
     new = _fit_people(people, s, True)
-    merged = merge_residual_stats(base, new, s)
-    fresh = new.select(KEY, F.col("weights").alias("_w"), F.col("first_loss").alias("_first"),
-                       F.col("best_loss").alias("_best"), F.col("epochs_run").alias("_ran"))
-    out = merged.join(fresh, KEY).join(people.select(KEY, "tuned_on"), KEY)
-    return out.select(*[{
-        "weights": F.col("_w"), "first_loss": F.col("_first"), "best_loss": F.col("_best"), "epochs_run": F.col("_ran"),
-        "version": F.col("version") + 1, "train_date": F.col("tuned_on"),
-    }.get(c, F.col(c)).alias(c) for c in base.columns])
+    replaced = {"weights", "first_loss", "best_loss", "epochs_run", "train_scores"}
+    tuned = new.selectExpr(KEY, *[c if c in replaced else {
+        "version": "old_version + 1 AS version", "train_date": "tuned_on AS train_date",
+        "n_windows": "CAST(size(train_scores) AS BIGINT) AS n_windows",
+    }.get(c, blend_stats(c, f"old_{c}", c, s) if c in RESIDUAL_STATS else f"old_{c} AS {c}") for c in others])
+    return tuned.drop("static_threshold").withColumn(
+        "static_threshold", F.expr(static_threshold("resid_mean", "resid_std", s))).select(*base.columns)
 
 
 def predictor(s: Settings = DEFAULTS):

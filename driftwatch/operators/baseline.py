@@ -105,17 +105,23 @@ def finish_baseline(df: DataFrame, train_scores, model: str, s: Settings = DEFAU
                static_threshold("resid_mean", "resid_std", s) + " AS static_threshold")
 
 
+RESIDUAL_STATS = ("resid_mean", "resid_std", "signed_mean", "signed_std")
+
+
+def blend_stats(name: str, old: str, new: str, s: Settings = DEFAULTS) -> str:
+    """``(1 - a) old + a new`` per element; a side that is absent leaves the other."""
+    a, b = num(s.merge_alpha), num(1 - s.merge_alpha)
+    return f"coalesce(zip_with({old}, {new}, (o, x) -> {b} * o + {a} * x), {old}, {new}) AS {name}"
+
+
 def merge_residual_stats(old: DataFrame, new: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Blend residual statistics on fine-tuning: ``(1 - a) old + a new`` per feature.
 
     A person without old statistics takes the new ones; one without new keeps the old.
     """
-    names = ["resid_mean", "resid_std", "signed_mean", "signed_std"]
-    fresh = new.select(KEY, *[F.col(n).alias(f"_new_{n}") for n in names])
-    j = old.join(fresh, KEY, "full_outer")
-    a, b = num(s.merge_alpha), num(1 - s.merge_alpha)
-    merged = {n: f"coalesce(zip_with({n}, _new_{n}, (o, x) -> {b} * o + {a} * x), {n}, _new_{n}) AS {n}" for n in names}
-    return j.selectExpr(*[merged.get(c, c) for c in old.columns])
+    fresh = new.select(KEY, *[F.col(n).alias(f"_new_{n}") for n in RESIDUAL_STATS])
+    return old.join(fresh, KEY, "full_outer").selectExpr(*[
+        blend_stats(c, c, f"_new_{c}", s) if c in RESIDUAL_STATS else c for c in old.columns])
 
 
 def finetune_days(valid_days: DataFrame, deviations: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.config import DEFAULTS, Settings
-from driftwatch.functions.text import UPTO, add, num
+from driftwatch.functions.text import BEFORE, UPTO, add, num
 
 # Deviation of an empty history, and its floor.
 STD_IF_FEW, STD_FLOOR = 1.0, 1e-8
@@ -28,7 +28,8 @@ def max_rows(alpha: float) -> int:
 
 
 def ewma_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], score: str,
-                alpha: float = DEFAULTS.ewma_alpha, seed: tuple[str, str, str] | None = None) -> DataFrame:
+                alpha: float = DEFAULTS.ewma_alpha, seed: tuple[str, str, str] | None = None,
+                only: str | None = None) -> DataFrame:
     """Add ``n_before, mean_before, var_before, ewma_n, ewma_mean, ewma_var``.
 
     The recursion is written as running sums of ``x / (1-a)^n``, which are plain window
@@ -37,28 +38,29 @@ def ewma_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], score:
     rows per key (13 000 at the default, which is 35 years of days). For faster decay use
     ``ewma_fold``, which has no such limit.
 
-    ``seed`` names columns (mean, var, n), constant per key, to continue from.
+    ``seed`` names columns (mean, var, n), constant per key, to continue from. Rows where the
+    ``only`` column is false neither change the state nor get one.
     """
     if not 0 < alpha < 1:
         raise ValueError(f"alpha must lie in (0, 1), got {alpha}")
-    kept, q, a = df.columns, num(1.0 - alpha), num(alpha)
+    kept, q, a, use = df.columns, num(1.0 - alpha), num(alpha), only or "true"
     w = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
-    upto = f" OVER ({w} {UPTO})"
+    upto, past = f" OVER ({w} {UPTO})", f" OVER ({w} {BEFORE})"
     mean0, var0, n0 = seed or ("NULL", "0D", "0")
-    df = add(df, f"row_number() OVER ({w}) AS _i", f"coalesce({n0}, 0) AS _n0", f"first({score}){upto} AS _x1")
+    df = add(df, f"CASE WHEN {use} THEN {score} END AS _x")
+    df = add(df, f"count(_x){upto} AS _i", f"coalesce({n0}, 0) AS _n0", f"first(_x, true){upto} AS _x1")
     # Without earlier scores the first one is the state itself and has no addend.
     df = add(df, f"CASE WHEN _n0 > 0 THEN {mean0} ELSE _x1 END AS _m0",
-             f"CASE WHEN _n0 > 0 THEN {var0} ELSE 0D END AS _v0",
-             "CASE WHEN _n0 > 0 THEN _i ELSE _i - 1 END AS _k")
+             f"CASE WHEN _n0 > 0 THEN {var0} ELSE 0D END AS _v0", "CASE WHEN _n0 > 0 THEN _i ELSE _i - 1 END AS _k")
     df = add(df, f"pow({q}, _k) AS _decay", f"pow({q}, -_k) AS _grow")
-    df = add(df, f"sum(CASE WHEN _k > 0 THEN {score} * _grow ELSE 0D END){upto} AS _sum")
-    df = add(df, f"_decay * (_m0 + {a} * _sum) AS ewma_mean")
-    df = add(df, f"CASE WHEN _i > 1 THEN lag(ewma_mean) OVER ({w}) WHEN _n0 > 0 THEN _m0 END AS mean_before")
-    df = add(df, f"sum(coalesce(pow({score} - mean_before, 2D) * _grow, 0D)){upto} AS _gap_sum")
-    df = add(df, f"_decay * (_v0 + {a} * _gap_sum) AS ewma_var")
-    return df.selectExpr(*kept, "CAST(_n0 + _i - 1 AS BIGINT) AS n_before", "mean_before",
-                         f"CASE WHEN _i > 1 THEN lag(ewma_var) OVER ({w}) ELSE _v0 END AS var_before",
-                         "CAST(_n0 + _i AS BIGINT) AS ewma_n", "ewma_mean", "ewma_var")
+    df = add(df, f"sum(CASE WHEN _k > 0 THEN _x * _grow END){upto} AS _sum")
+    df = add(df, f"CASE WHEN _x IS NOT NULL THEN _decay * (_m0 + {a} * coalesce(_sum, 0D)) END AS ewma_mean")
+    df = add(df, f"coalesce(last(ewma_mean, true){past}, CASE WHEN _n0 > 0 THEN _m0 END) AS mean_before")
+    df = add(df, f"sum(coalesce(pow(_x - mean_before, 2D) * _grow, 0D)){upto} AS _gaps")
+    df = add(df, f"CASE WHEN _x IS NOT NULL THEN _decay * (_v0 + {a} * _gaps) END AS ewma_var")
+    return df.selectExpr(*kept, "CASE WHEN _x IS NOT NULL THEN _n0 + _i - 1 END AS n_before", "mean_before",
+                         f"coalesce(last(ewma_var, true){past}, _v0) AS var_before",
+                         "CASE WHEN _x IS NOT NULL THEN _n0 + _i END AS ewma_n", "ewma_mean", "ewma_var")
 
 
 def fold_state(scores: Column, alpha: float = DEFAULTS.ewma_alpha) -> Column:

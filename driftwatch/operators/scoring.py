@@ -50,8 +50,7 @@ def attach_baseline(days: DataFrame, baselines: DataFrame, as_of: bool = False)
 
 
 def _last_week(s: Settings) -> str:
-    return (f" OVER (PARTITION BY {KEY} ORDER BY unix_date({DAY}) RANGE BETWEEN {s.window} PRECEDING "
-            "AND 1 PRECEDING)")
+    return f" OVER (PARTITION BY {KEY} ORDER BY {DAY} RANGE BETWEEN {s.window} PRECEDING AND 1 PRECEDING)"
 
 
 def mean_forecast(days: DataFrame, s: Settings = DEFAULTS, valid_only: bool = False) -> DataFrame:
@@ -88,10 +87,10 @@ def decide(scored: DataFrame, s: Settings = DEFAULTS, flag: str = "scored") -> D
     """Thresholds, deviation flag and status of rows that have a score.
 
     Today is compared with the state before today and then added to it, deviating or not.
-    Rows whose ``flag`` is false pass through in a partition of their own.
+    Rows whose ``flag`` is false pass by without touching the state.
     """
-    df = ewma_states(scored, [KEY, flag], [DAY], "anomaly_score", s.ewma_alpha,
-                     seed=("ewma_mean_at_train", "ewma_var_at_train", "ewma_n_at_train"))
+    df = ewma_states(scored, [KEY], [DAY], "anomaly_score", s.ewma_alpha,
+                     seed=("ewma_mean_at_train", "ewma_var_at_train", "ewma_n_at_train"), only=flag)
     std_before = ewma_std("var_before", "n_before")
     df = add(df, f"CASE WHEN n_before >= {s.ewma_min_samples} THEN mean_before + {num(s.sigma)} * {std_before} "
                  "ELSE static_threshold END AS ewma_threshold")

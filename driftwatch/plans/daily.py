@@ -48,7 +48,7 @@ def score_days(days: DataFrame, baselines: DataFrame | None = None, s: Settings
     if baselines is None:
         stored = baseline.own_baseline(training_windows(stored, s), s)
     stored = scoring.mean_forecast(stored, s) if predictor is None else scoring.window_rows(stored, s)
-    rows = quality.usable(scoring.cold_start(stored, s, keys=(KEY, "valid")))
+    rows = scoring.cold_start(quality.usable(stored), s)
     if baselines is not None:
         rows = scoring.attach_baseline(rows, baselines, as_of)
     rows = rows.withColumn("has_baseline", F.coalesce(F.col("train_date") < F.col(DAY), F.lit(False)))
