@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from driftwatch.config import DAY, DEFAULTS, FEATURES, KEY, Settings
 from driftwatch.functions.text import add, each
 from driftwatch.operators.baseline import RESIDUAL_STATS, blend_stats, finish_baseline, static_threshold
+from driftwatch.session import shuffle_width
 
 D = len(FEATURES)
 IMPROVED_BY = 1e-6       # fixed value: smallest drop of the loss that counts
@@ -201,6 +202,14 @@ def _fit_people(people: DataFrame, s: Settings, finetune: bool) -> DataFrame:
     return people.mapInPandas(_trainer(s, finetune), schema)
 
 
+def _spread(days: DataFrame) -> DataFrame:
+    """One shuffle of the few training rows into as many partitions as the session asks for.
+
+    Training is heavy for its size; partitions merged by byte count would leave cores idle.
+    """
+    return days.repartition(shuffle_width(days.sparkSession), KEY)
+
+
 def _matrix(norm: str) -> Column:
     """A person's normalised days, oldest first, as one flat array of at most ~30 days."""
     row = F.expr(f"array({', '.join(each(norm))})")
@@ -213,7 +222,7 @@ def train(marked_windows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     ``marked_windows`` comes from ``baseline.mark_windows``; the scaler fitted there is used.
     """
     kept = marked_windows.filter("enrol AND NOT outlier_day AND gate = 'ok'")
-    people = kept.groupBy(KEY).agg(
+    people = _spread(kept).groupBy(KEY).agg(
         _matrix("({f} - mean_{f}) / scale_{f}").alias("rows"),
         F.max("train_date").alias("train_date"), F.max("n_train_days").cast("long").alias("n_train_days"),
         F.expr(f"array({', '.join(each('max(mean_{f})'))})").alias("scaler_mean"),
@@ -232,7 +241,7 @@ def finetune(recent_days: DataFrame, baselines: DataFrame, s: Settings = DEFAULT
     base = baselines.filter(F.col("model") == "gru")
     others = [c for c in base.columns if c != KEY]
     joined = recent_days.join(base.select(KEY, F.struct(*others).alias("old")), KEY)
-    people = joined.groupBy(KEY).agg(
+    people = _spread(joined).groupBy(KEY).agg(
         _matrix("({f} - old.scaler_mean[{i}]) / old.scaler_scale[{i}]").alias("rows"), F.first("old").alias("old"),
         F.max(DAY).alias("tuned_on"),
     ).selectExpr(KEY, "rows", "tuned_on", "old.weights AS start", f"xxhash64({KEY}) AS seed",

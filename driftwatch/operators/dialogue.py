@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.scalars import clock, emotion_of, speech_rate, strip_tags
 from driftwatch.operators.acoustic import PITCH_IF_MISSING, SPEED_IF_MISSING
-from driftwatch.operators.ordered import merge_runs
+from driftwatch.operators.ordered import merge_runs, salted_join
 
 # Fixed value: shortest segment length used for the speech rate.
 MIN_SEGMENT_SEC = 0.1
@@ -55,13 +55,12 @@ def name_speakers(segments: DataFrame, keys: Sequence[str], spk: str = "spk",
     """Add ``speaker`` = ``speaker_1``, ``speaker_2``, ... by first appearance per key.
 
     First positions are found by a combined aggregate, so only one row per speaker is
-    ranked. The names come back as a join on (keys, speaker); that side holds one row per
-    speaker, and a speaker with most of the rows is left to the skew-join rule of AQE.
+    ranked. The names come back by a salted join, which cuts a speaker with most of the rows.
     """
     firsts = segments.groupBy(*keys, spk).agg(F.min(F.struct(*order)).alias("_at"))
     names = firsts.select(*keys, spk, F.concat(F.lit("speaker_"), F.row_number().over(
         Window.partitionBy(*keys).orderBy("_at")).cast("string")).alias("speaker"))
-    return segments.join(names, [*keys, spk])
+    return salted_join(segments, names, [*keys, spk], order)
 
 
 def turns(utterances: DataFrame, keys: Sequence[str], order: Sequence[str], role: str = "speaker",

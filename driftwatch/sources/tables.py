@@ -85,8 +85,11 @@ def last_days(df: DataFrame, n: int, until=None) -> DataFrame:
 # ---- baselines -----------------------------------------------------------
 
 def append_baselines(df: DataFrame, path: str) -> None:
-    """Add baseline versions; existing ones are never changed."""
-    df.write.mode("append").parquet(path)
+    """Add baseline versions; existing ones are never changed.
+
+    Versions are partitions, so reading one of them skips the weights of all others.
+    """
+    df.write.mode("append").partitionBy("version").parquet(path)
 
 
 def read_baselines(spark: SparkSession, path: str, version: int | None = None, back: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ watermark instead of by the next arrival; how many were dropped is in the query
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -23,18 +24,22 @@ LATE = "1 hour"
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    Where none is set (tests on one machine) a temporary one is made and set; on a cluster
-    that is an error, because executors could not see it.
+    Where none is set (tests on one machine) a temporary one is made; on a cluster that is an
+    error, because executors could not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _one_machine_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _one_machine_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def with_event_time(chunks: DataFrame, chunk_ts: str = "chunk_ts", offset: str = "start_sec") -> DataFrame:
     """``ts`` = chunk time + offset in seconds."""
     us = F.unix_micros(chunk_ts) + F.round(F.coalesce(offset, F.lit(0.0)) * 1_000_000).cast("long")
