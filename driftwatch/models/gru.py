@@ -24,7 +24,7 @@ from driftwatch.session import shuffle_width
 D = len(FEATURES)
 IMPROVED_BY = 1e-6       # fixed value: smallest drop of the loss that counts
 ADAM = (0.9, 0.999, 1e-8)  # fixed values: the optimizer's usual decay rates
-AT_ONCE = 256            # people trained as one stack
+AT_ONCE = 64             # people trained as one stack
 
 _ARR = T.ArrayType(T.DoubleType())
 _FITTED = [("weights", _ARR), ("resid_mean", _ARR), ("resid_std", _ARR), ("signed_mean", _ARR), ("signed_std", _ARR),
@@ -67,7 +67,8 @@ def forward(theta: np.ndarray, x: np.ndarray, hidden: int, keep: np.ndarray | fl
     """Predictions (people, windows, D) and last states for x of (people, windows, days, D)."""
     w_in, w_rec, b_in, b_rec, w_out, b_out = _split(theta, hidden)
     h = np.zeros((*x.shape[:2], hidden))
-    gates_in = np.einsum("pntd,pgd->pntg", x, w_in, optimize=True) + b_in[:, None, None]
+    flat = x.reshape(len(x), -1, x.shape[-1])
+    gates_in = (flat @ w_in.transpose(0, 2, 1) + b_in[:, None]).reshape(*x.shape[:3], -1)
     w_rec_t = w_rec.transpose(0, 2, 1)
     for t in range(x.shape[2]):
         a, b = gates_in[:, :, t], h @ w_rec_t + b_rec[:, None]
@@ -75,7 +76,7 @@ def forward(theta: np.ndarray, x: np.ndarray, hidden: int, keep: np.ndarray | fl
         cand_rec = b[..., 2 * hidden:]
         cand = np.tanh(a[..., 2 * hidden:] + r * cand_rec)
         if tape is not None:
-            tape.append((x[:, :, t], h, r, z, cand, cand_rec))
+            tape.append((h, r, z, cand, cand_rec))
         h = (1 - z) * cand + z * h
     return (h * keep) @ w_out.transpose(0, 2, 1) + b_out[:, None], h
 
@@ -84,7 +85,7 @@ def loss_and_gradient(theta, x, y, mask, hidden, keep=1.0):
     """Mean squared error per person over its real windows, and its gradient."""
     tape: list = []
     pred, last = forward(theta, x, hidden, keep, tape)
-    w_in, w_rec, _, _, w_out, _ = _split(theta, hidden)
+    _, w_rec, _, _, w_out, _ = _split(theta, hidden)
     scale = (mask / (np.maximum(mask.sum(1, keepdims=True), 1) * D))[..., None]
     diff = pred - y
     loss = (diff ** 2 * scale).sum((1, 2))
@@ -92,20 +93,23 @@ def loss_and_gradient(theta, x, y, mask, hidden, keep=1.0):
     kept = last * keep
     g_out, gb_out = d_out.transpose(0, 2, 1) @ kept, d_out.sum(1)
     dh = (d_out @ w_out) * keep
-    g_in, g_rec = np.zeros_like(w_in), np.zeros_like(w_rec)
-    gb_in = np.zeros((len(theta), 3 * hidden))
-    gb_rec = np.zeros_like(gb_in)
-    for xt, h, r, z, cand, cand_rec in reversed(tape):
+    d_in, d_rec = np.empty((*x.shape[:3], 3 * hidden)), np.empty((*x.shape[:3], 3 * hidden))
+    before = np.empty((*x.shape[:3], hidden))
+    for t in range(x.shape[2] - 1, -1, -1):
+        h, r, z, cand, cand_rec = tape[t]
+        a, b = d_in[:, :, t], d_rec[:, :, t]
         d_cand = dh * (1 - z) * (1 - cand ** 2)
-        d_z = dh * (h - cand) * z * (1 - z)
-        d_r = d_cand * cand_rec * r * (1 - r)
-        d_a = np.concatenate([d_r, d_z, d_cand], axis=-1)
-        d_b = np.concatenate([d_r, d_z, d_cand * r], axis=-1)
-        g_in += d_a.transpose(0, 2, 1) @ xt
-        g_rec += d_b.transpose(0, 2, 1) @ h
-        gb_in += d_a.sum(1)
-        gb_rec += d_b.sum(1)
-        dh = dh * z + d_b @ w_rec
+        a[..., :hidden] = d_cand * cand_rec * r * (1 - r)
+        a[..., hidden:2 * hidden] = dh * (h - cand) * z * (1 - z)
+        a[..., 2 * hidden:] = d_cand
+        b[..., :2 * hidden] = a[..., :2 * hidden]
+        b[..., 2 * hidden:] = d_cand * r
+        before[:, :, t] = h
+        dh = dh * z + b @ w_rec
+    rows = lambda g: g.reshape(len(theta), -1, g.shape[-1])
+    d_in, d_rec = rows(d_in), rows(d_rec)
+    g_in, g_rec = d_in.transpose(0, 2, 1) @ rows(x), d_rec.transpose(0, 2, 1) @ rows(before)
+    gb_in, gb_rec = d_in.sum(1), d_rec.sum(1)
     n = len(theta)
     grad = np.concatenate([g.reshape(n, -1) for g in (g_in, g_rec, gb_in, gb_rec, g_out, gb_out)], axis=1)
     return loss, grad
@@ -142,9 +146,9 @@ def fit(theta, x, y, mask, seeds, hidden, epochs, lr, patience=0, dropout=0.0):
         best[go[better]] = theta[go[better]]
         best_loss[go[better]] = loss[better]
         stalled[go] = np.where(better, 0, stalled[go] + 1)
-        m[go] = b1 * m[go] + (1 - b1) * grad
-        v[go] = b2 * v[go] + (1 - b2) * grad ** 2
-        theta[go] -= lr * (m[go] / (1 - b1 ** step)) / (np.sqrt(v[go] / (1 - b2 ** step)) + eps)
+        mg, vg = b1 * m[go] + (1 - b1) * grad, b2 * v[go] + (1 - b2) * grad ** 2
+        m[go], v[go] = mg, vg
+        theta[go] -= lr / (1 - b1 ** step) * mg / (np.sqrt(vg / (1 - b2 ** step)) + eps)
         if patience:
             active[go] = stalled[go] < patience
     return (best if patience else theta), first, best_loss, ran
@@ -196,18 +200,15 @@ def _trainer(s: Settings, finetune: bool):
 
 
 def _fit_people(people: DataFrame, s: Settings, finetune: bool) -> DataFrame:
-    """Train every row's person; the other columns of the row come out again beside the fit."""
-    passed = [f for f in people.schema.fields if f.name not in _CONSUMED]
-    schema = T.StructType(passed + [T.StructField(n, t) for n, t in _FITTED])
-    return people.mapInPandas(_trainer(s, finetune), schema)
-
+    """Train every row's person; the other columns of the row come out again beside the fit.
 
-def _spread(days: DataFrame) -> DataFrame:
-    """One shuffle of the few training rows into as many partitions as the session asks for.
-
-    Training is heavy for its size; partitions merged by byte count would leave cores idle.
+    Training is heavy for its size, so the small records are spread over as many partitions as
+    the session asks for; partitions merged by byte count would leave cores idle.
     """
-    return days.repartition(shuffle_width(days.sparkSession), KEY)
+    passed = [f for f in people.schema.fields if f.name not in _CONSUMED]
+    schema = T.StructType(passed + [T.StructField(n, t) for n, t in _FITTED])
+    spread = people.repartition(shuffle_width(people.sparkSession), "seed")
+    return spread.mapInPandas(_trainer(s, finetune), schema)
 
 
 def _matrix(norm: str) -> Column:
@@ -222,7 +223,7 @@ def train(marked_windows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     ``marked_windows`` comes from ``baseline.mark_windows``; the scaler fitted there is used.
     """
     kept = marked_windows.filter("enrol AND NOT outlier_day AND gate = 'ok'")
-    people = _spread(kept).groupBy(KEY).agg(
+    people = kept.groupBy(KEY).agg(
         _matrix("({f} - mean_{f}) / scale_{f}").alias("rows"),
         F.max("train_date").alias("train_date"), F.max("n_train_days").cast("long").alias("n_train_days"),
         F.expr(f"array({', '.join(each('max(mean_{f})'))})").alias("scaler_mean"),
@@ -241,7 +242,7 @@ def finetune(recent_days: DataFrame, baselines: DataFrame, s: Settings = DEFAULT
     base = baselines.filter(F.col("model") == "gru")
     others = [c for c in base.columns if c != KEY]
     joined = recent_days.join(base.select(KEY, F.struct(*others).alias("old")), KEY)
-    people = _spread(joined).groupBy(KEY).agg(
+    people = joined.groupBy(KEY).agg(
         _matrix("({f} - old.scaler_mean[{i}]) / old.scaler_scale[{i}]").alias("rows"), F.first("old").alias("old"),
         F.max(DAY).alias("tuned_on"),
     ).selectExpr(KEY, "rows", "tuned_on", "old.weights AS start", f"xxhash64({KEY}) AS seed",

@@ -168,10 +168,8 @@ def trailing_sums(
     part = Window.partitionBy(*keys, "_bucket")
     head = part.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     tail = part.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    for n in names:
-        marks = marks.withColumn(f"_h_{n}", F.sum(F.when(F.col("_arrives"), F.col(n))).over(head))
-    for n in names:
-        marks = marks.withColumn(f"_t_{n}", F.sum(F.when(~F.col("_arrives"), F.col(n))).over(tail))
+    marks = marks.withColumns({f"_h_{n}": F.sum(F.when(F.col("_arrives"), F.col(n))).over(head) for n in names})
+    marks = marks.withColumns({f"_t_{n}": F.sum(F.when(~F.col("_arrives"), F.col(n))).over(tail) for n in names})
     points = marks.filter("_arrives")
 
     totals = (instants.groupBy(*keys, _bucket(F.col("_us"), width).alias("_bucket"))

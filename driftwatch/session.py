@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Semantics, not tuning: results are compared in UTC, and partitions written
@@ -29,13 +33,31 @@ def build_session(app: str = "driftwatch", master: str | None = None, **conf: st
     merged = {**_DEFAULTS, **_REQUIRED, **{k.replace("__", "."): v for k, v in conf.items()}}
     for key, value in merged.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def ensure_session(spark: SparkSession) -> SparkSession:
     """Apply the settings results depend on to a session made elsewhere."""
     for key, value in _REQUIRED.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, once per application.
+
+    Only grouped training and keyed state run Python on executors. A package that is
+    imported from an archive (``--py-files``) is there already.
+    """
+    app, package = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app not in _shipped and package.is_dir():
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip",
+                                      package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
     return spark
 
 
