@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from math import sqrt
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,10 @@ from driftwatch.operators.acoustic import features_from_sums, utterance_measures
 from driftwatch.operators.ewma import STD_FLOOR, STD_IF_FEW
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The process that sets up a stateful query does not see files added to the session, so the
+# two processors below travel by value. They use nothing of this package but constants.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SUMS = ["n_utterances", "dur_sum", "sad_sum", "speed_sum", "pitch_sum", "pitch_sq", "distress_sum"]
 
 
@@ -91,20 +97,20 @@ class RunningEwma(StatefulProcessor):
     """Mean, variance and count of a person's scores across days."""
 
     def __init__(self, s: Settings) -> None:
-        self.s = s
+        self.alpha, self.sigma, self.min_samples = s.ewma_alpha, s.sigma, s.ewma_min_samples
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("ewma", "mean double, var double, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        a, s = self.s.ewma_alpha, self.s
+        a = self.alpha
         mean, var, n = self.state.get() if self.state.exists() else (0.0, 0.0, 0)
         out = []
         for day, score, static in (pd.concat(list(rows)).sort_values(DAY)
                                    [[DAY, "anomaly_score", "static_threshold"]].itertuples(index=False, name=None)):
             limit = static
-            if n >= s.ewma_min_samples:
-                limit = min(static, mean + s.sigma * (max(sqrt(var), STD_FLOOR) if n >= 2 else STD_IF_FEW))
+            if n >= self.min_samples:
+                limit = min(static, mean + self.sigma * (max(sqrt(var), STD_FLOOR) if n >= 2 else STD_IF_FEW))
             before = (n, mean if n else None, var)
             if n == 0:
                 mean, var = score, 0.0
