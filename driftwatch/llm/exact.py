@@ -42,7 +42,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     sha, other, gone, stays = (private(docs, c) for c in ("_sha", "_id", "_gone", "_stays"))
     touched = (exact_groups(docs).groupBy(F.col("doc_id").alias(other), F.col("text_sha256").alias(f"{sha}_of"))
-               .agg(F.count_if(~F.col("kept")).alias(gone), F.count_if("kept").alias(stays))
+               .agg(F.count_if(~F.col("kept")).alias(gone), F.count_if(F.col("kept")).alias(stays))
                .filter(F.col(gone) > 0))
     marked = docs.withColumn(sha, F.sha2(normalised("text"), 256)).join(
         stored(touched, "copies"),

@@ -10,3 +10,22 @@ WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r,
            row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id, r) AS n FROM t)
 SELECT doc_id, keep_id, group_size, n = 1 AS kept, text_sha256 FROM w
 """
+
+ORACLE["op1_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     win AS (SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS g
+             FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(i) WHERE len(w) > 0),
+     sizes AS (SELECT DISTINCT n FROM win),
+     seen AS (SELECT r, n, i, list_slice(w, i, i + n - 1) AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)
+            WHERE len(w) >= n),
+     hit AS (SELECT r, i, n, item FROM seen JOIN win USING (n, g)),
+     word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+     item AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, items IS NOT NULL AS contaminated
+FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r)
+"""
