@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwatch.llm import decontaminate, exact
+from driftwatch.llm import decontaminate, exact, licenses
 from driftwatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(documents(spark, sf_dir))
