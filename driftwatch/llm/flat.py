@@ -12,6 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from driftwatch.session import ship_package
 
 BLOCK_BYTES = 4 << 20
 _U = np.uint64
@@ -158,13 +161,11 @@ def distinct(doc: np.ndarray, values: np.ndarray, docs: int) -> tuple[np.ndarray
     return values[new], np.bincount(doc[new], minlength=docs)
 
 
-def per_document(docs, fn, schema: str):
+def per_document(docs: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(texts, doc_ids) -> columns`` over Arrow batches of doc_id and text; ``schema`` names the columns.
 
     ``texts`` is an Arrow string array. Work is by batch, so memory does not grow with a partition.
     """
-    from driftwatch.session import ship_package
-
     ship_package(docs.sparkSession)
     names = [part.split()[0] for part in schema.split(",")]
 

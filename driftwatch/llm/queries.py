@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwatch.llm import decontaminate, exact, licenses
+from driftwatch.llm import decontaminate, exact, licenses, pii
 from driftwatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(documents(spark, sf_dir))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir)).drop("base_spans")
