@@ -87,10 +87,13 @@ def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Itera
 
 @functools.cache
 def word_bytes(kind: str) -> np.ndarray:
-    """Which lowered bytes belong to words: ``space``, all but ASCII white space; ``plain``, digits, a-z, non-ASCII."""
+    """Which lowered bytes belong to words: ``space``, all but ASCII white space; ``plain``, digits, a-z, non-ASCII;
+    ``token``, digits, a-z and + / _ = -."""
     b = np.arange(256)
     if kind == "space":
         return ~((b == 32) | ((b >= 9) & (b <= 13)))
+    if kind == "token":
+        return ((b >= 48) & (b <= 57)) | ((b >= 97) & (b <= 122)) | np.isin(b, list(b"+/_=-"))
     return ((b >= 48) & (b <= 57)) | ((b >= 97) & (b <= 122)) | (b >= 128)
 
 
@@ -124,6 +127,11 @@ def words(block: Block, kind: str = "space") -> Words:
     return Words(start, end, np.repeat(np.arange(len(block)), counts), counts)
 
 
+def code_points(block: Block) -> np.ndarray:
+    """For each byte of the block, and its end: how many code points lie before it."""
+    return np.concatenate([[0], np.cumsum((block.raw & 0xC0) != 0x80)])
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
     up, down = powers(len(data) + 1)

@@ -175,11 +175,6 @@ def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate:
     return Crf(emit, move)
 
 
-def _points(block: flat.Block) -> np.ndarray:
-    """For each byte (and the end): how many code points of the block lie before it."""
-    return np.concatenate([[0], np.cumsum((block.raw & 0xC0) != 0x80)])
-
-
 def _maybe(texts: pa.Array) -> np.ndarray:
     """Texts that can hold a base match at all: with an @, or a long enough mix of digits and their separators."""
     hit = pc.match_substring_regex(texts, r"@|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){13}|\+[0-9][ ().0-9-]+[0-9]")
@@ -197,7 +192,7 @@ def _labelled(texts, every: int):
             continue
         shape, first = shapes(block.data, w.start, w.end), chain_starts(block, w)
         label = np.zeros(len(shape), np.int8)
-        points = _points(block)
+        points = flat.code_points(block)
         for d in np.flatnonzero(maybe[block.first:block.first + len(block)]).tolist():
             lo, hi = np.searchsorted(w.doc, [d, d + 1])
             origin = points[block.offsets[d]]
@@ -270,7 +265,7 @@ def personal_data(docs: DataFrame, size: int = 1500) -> DataFrame:
             w = flat.words(block)
             first = chain_starts(block, w)
             label = crf.decode(shapes(block.data, w.start, w.end), first)
-            points, begins = _points(block), w.begins
+            points, begins = flat.code_points(block), w.begins
             hot = np.bincount(w.doc[label > 0], minlength=len(block)) > 0
             for d in range(len(block)):
                 if not (hot[d] or maybe[block.first + d]):

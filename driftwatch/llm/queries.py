@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwatch.llm import decontaminate, exact, licenses, packing, pii
+from driftwatch.llm import decontaminate, exact, licenses, packing, pii, secrets
 from driftwatch.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -50,3 +50,8 @@ def vocabulary() -> str:
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary(), with_ids=False)
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir)).drop("base_spans")
