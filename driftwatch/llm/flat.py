@@ -61,8 +61,8 @@ class Block:
         return len(self.offsets) - 1
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The texts of a string column in blocks of about ``size`` bytes; null is the empty text.
+def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES, rows: int = 1 << 40) -> Iterator[Block]:
+    """The texts of a string column in blocks of about ``size`` bytes and at most ``rows`` rows; null is the empty text.
 
     A document is never cut: a longer one is a block by itself.
     """
@@ -78,6 +78,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Itera
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        last = min(last, first + rows)
         raw = data[offsets[first]:offsets[last]]
         lowered = raw.copy()
         lowered[(raw >= 65) & (raw <= 90)] += 32

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwatch.llm import decontaminate, exact, licenses, packing, pii, secrets
+from driftwatch.llm import credentials, decontaminate, exact, language, licenses, packing, pii, quality
 from driftwatch.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -54,4 +54,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets(documents(spark, sf_dir)).drop("base_spans")
+    return credentials.secrets(documents(spark, sf_dir)).drop("base_spans")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(documents(spark, sf_dir))
