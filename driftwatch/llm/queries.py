@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwatch.llm import credentials, decontaminate, exact, language, licenses, minhash, packing, pii, quality
+from driftwatch.llm import credentials, decontaminate, exact, language, licenses, lm, minhash, packing, pii, quality
 from driftwatch.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -70,3 +70,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir))
+
+
+@query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
