@@ -29,6 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def bounded(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written ``table`` marked for broadcast if it is counted and has ``rows`` rows at most; else as it is."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def private(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case (extra columns may clash)."""
     taken = {c.lower() for c in df.columns}

@@ -63,12 +63,13 @@ class Benchmark:
             all_blocks = F.concat(*[_blocks(words, n) for n in self.widths])
             found = F.expr(f"exists({blocks}, b -> xxhash64(b) IN ({known}))")
             return docs.withColumn(blocks, all_blocks).withColumn(flag, found).drop(blocks)
-        one = F.concat(*[_blocks(words, n) for n in self.widths])
-        key = docs.select(F.sha2(words, 256).alias("_key"), F.explode(one).alias("_b"))
-        hits = key.select("_key", F.xxhash64("_b").alias("gram")).join(self.grams.select("gram").distinct(), "gram")
-        keys = stored(hits.select("_key").distinct().withColumn(flag, F.lit(True)), "suspects")
-        return (docs.withColumn("_key2", F.sha2(words, 256)).join(keys, F.col("_key2") == F.col("_key"), "left")
-                .drop("_key", "_key2").withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
+        mine, key = private(docs, "_digest"), private(docs, "_digest_of")
+        blocks = F.concat(*[_blocks(words, n) for n in self.widths])
+        cut = docs.select(F.sha2(words, 256).alias(key), F.explode(blocks).alias("b"))
+        found = cut.select(key, F.xxhash64("b").alias("gram")).join(self.grams.select("gram").distinct(), "gram")
+        keys = stored(found.select(key).distinct().withColumn(flag, F.lit(True)), "suspects")
+        return (docs.withColumn(mine, F.sha2(words, 256)).join(keys, F.col(mine) == F.col(key), "left")
+                .drop(mine, key).withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
 
     def hits(self, rows: DataFrame, keys: list[str], words: str) -> DataFrame:
         """Per ``keys``: the merged word ranges that windows cover, and the items they belong to."""
@@ -129,18 +130,18 @@ def decontaminated(docs: DataFrame, items: DataFrame, spans: bool = False, windo
     a hit, among them those with null or empty texts, stay as they are; all columns stay.
     """
     bench = Benchmark(items, window, max_grams=max_grams)
-    words, flag, key = (private(docs, c) for c in ("_words", "_suspect", "_key"))
+    words, flag, key, of, cuts = (private(docs, c) for c in ("_words", "_suspect", "_key", "_key_of", "_cuts"))
     rows = bench.suspects(docs.withColumn(words, plain_words("text")), words, flag)
     clear, suspect = rows.filter(~F.col(flag)), rows.filter(flag).withColumn(key, F.sha2(words, 256))
     hits = bench.hits(suspect.select(key, words).dropDuplicates([key]), [key], words)
-    hits = stored(hits.select(F.col(key).alias(f"{key}_of"), F.col("spans").alias(f"{key}_spans")), "contaminated")
-    on = F.col(key) == F.col(f"{key}_of")
+    hits = stored(hits.select(F.col(key).alias(of), F.col("spans").alias(cuts)), "contaminated")
+    on = F.col(key) == F.col(of)
     if not spans:
         kept = suspect.join(hits, on, "left_anti")
         return clear.select(*docs.columns).unionByName(kept.select(*docs.columns))
     pieces = F.regexp_extract_all("text", F.lit(f"[^{GAP}]+[{GAP}]*"), F.lit(0))
     head = F.regexp_extract("text", f"^[{GAP}]*", 0)
-    left = F.filter(pieces, lambda p, i: ~F.exists(f"{key}_spans", lambda s: (i >= s.pos) & (i < s.end)))
+    left = F.filter(pieces, lambda p, i: ~F.exists(cuts, lambda s: (i >= s.pos) & (i < s.end)))
     cut = suspect.join(hits, on, "left").withColumn(
-        "text", F.when(F.col(f"{key}_spans").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(left, ""))))
+        "text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(left, ""))))
     return clear.select(*docs.columns).unionByName(cut.select(*docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import private, stored, tree_merge
+from driftwatch.llm.common import bounded, private, stored, tree_merge
 
 
 def normalised(text: Column | str) -> Column:
@@ -40,13 +40,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Rows are matched by doc_id and digest. Rows that repeat both are the same document; any one of them stays.
     """
-    sha, other, gone, stays = (private(docs, c) for c in ("_sha", "_id", "_gone", "_stays"))
-    touched = (exact_groups(docs).groupBy(F.col("doc_id").alias(other), F.col("text_sha256").alias(f"{sha}_of"))
+    sha, of, other, gone, stays = (private(docs, c) for c in ("_sha", "_sha_of", "_id", "_gone", "_stays"))
+    touched = (exact_groups(docs).groupBy(F.col("doc_id").alias(other), F.col("text_sha256").alias(of))
                .agg(F.count_if(~F.col("kept")).alias(gone), F.count_if(F.col("kept")).alias(stays))
                .filter(F.col(gone) > 0))
     marked = docs.withColumn(sha, F.sha2(normalised("text"), 256)).join(
-        stored(touched, "copies"),
-        (F.col("doc_id").eqNullSafe(F.col(other))) & (F.col(sha) == F.col(f"{sha}_of")), "left")
+        bounded(stored(touched, "copies")),
+        (F.col("doc_id").eqNullSafe(F.col(other))) & (F.col(sha) == F.col(of)), "left")
     single = marked.filter(F.col(gone).isNull())
     repeated = marked.filter(F.col(stays) > 0).dropDuplicates(["doc_id", sha])
     return single.unionByName(repeated).select(*docs.columns)

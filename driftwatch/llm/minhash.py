@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm import flat
-from driftwatch.llm.common import private, stored, tree_merge
+from driftwatch.llm.common import bounded, private, stored, tree_merge
 from driftwatch.session import ship_package
 
 WORDS = 5          # fixed value: words of a shingle
@@ -147,9 +147,8 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows:
 
     asked = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
     asked = stored(reps.join(asked, "row").select("row", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "asked")
-    few = asked.count() <= broadcast_rows
     texts = docs.select("doc_id", "text").join(
-        F.broadcast(asked) if few else asked,
+        bounded(asked, broadcast_rows),
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
     made = stored(texts.select("row", "text").mapInArrow(sets, "row long, items binary"), "sets")
     made = made.dropDuplicates(["row"])
@@ -181,7 +180,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, text_key (xxhash64 of the text), kept.
 
     Sets are distinct runs of five words (lower case; a shorter text is one run). Equal sets become one
     class first. Each class's registers are cut into bands; classes that share a band meet in a bucket. First each
@@ -194,9 +193,10 @@ def near_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     ``kept`` is true when both are null. Further columns are not read; an empty table gives no rows.
     """
     rows = stored(signatures(docs), "signatures")
-    classes = stored(tree_merge(rows.filter("n_shingles > 0").select("doc_id", "row", "n_shingles", "set_a", "set_b"),
+    classes = stored(tree_merge(rows.filter("n_shingles > 0").select(
+        "doc_id", "row", "text_key", "n_shingles", "set_a", "set_b"),
                                 ["n_shingles", "set_a", "set_b"], ["doc_id", "row"], name="classes")
-                     .select("doc_id", "row", "n_shingles", F.col("first_row.row").alias("rep")), "classes")
+                     .select("doc_id", "row", "text_key", "n_shingles", F.col("first_row.row").alias("rep")), "classes")
     reps = rows.join(classes.filter("row = rep").select("row"), "row", "left_semi")
     reps = stored(reps.select("row", "doc_id", "text_key", "n_shingles", "sig", *[f"s{i}" for i in range(SKETCH)]), "reps")
     width = 2 * BAND
@@ -223,15 +223,20 @@ def near_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.union(more))
     labelled = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select(
-        "doc_id", "row", "n_shingles", F.coalesce("label", "rep").alias("label"))
+        "doc_id", "row", "text_key", "n_shingles", F.coalesce("label", "rep").alias("label"))
     grouped = tree_merge(stored(labelled, "labels"), ["label"], ["doc_id", "row"], name="groups").select(
-        "doc_id", "n_shingles", F.col("first_row.doc_id").alias("component_id"))
-    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.col("first_row.doc_id").alias("component_id"), "text_key")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
     return grouped.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one document of each group of near duplicates: that of the smallest doc_id."""
-    gone = private(docs, "_gone")
-    lost = stored(near_groups(docs).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
-    return docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
+def drop_near_copies(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near duplicates: that of the smallest doc_id.
+
+    Rows that repeat both doc_id and text stay or go together.
+    """
+    gone, key = private(docs, "_gone"), private(docs, "_gone_key")
+    lost = stored(near_groups(docs).filter("NOT kept").select(
+        F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct(), "near-copies")
+    return docs.join(bounded(lost, broadcast_rows), F.col("doc_id").eqNullSafe(F.col(gone))
+                     & (F.xxhash64("text") == F.col(key)), "left_anti")

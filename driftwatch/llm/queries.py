@@ -69,7 +69,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(documents(spark, sf_dir))
+    return minhash.near_groups(documents(spark, sf_dir)).drop("text_key")
 
 
 @query
