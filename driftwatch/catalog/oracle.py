@@ -659,13 +659,32 @@ SELECT {KD}, {FEATS} FROM (
     SELECT *, row_number() OVER (PARTITION BY elder_id ORDER BY date DESC) AS rn FROM valid) v
   WHERE rn <= 30 AND NOT EXISTS (SELECT 1 FROM c10_src c WHERE c.elder_id = v.elder_id AND c.date = v.date AND c.is_deviation))
 WHERE cnt >= 14""")
+CTES["tuned"] = f"""
+SELECT *, count(*) OVER w AS np, {fs('avg({f}) OVER w AS p_{f}')} FROM (
+  SELECT *, count(*) OVER (PARTITION BY elder_id) AS cnt FROM (
+    SELECT *, row_number() OVER (PARTITION BY elder_id ORDER BY date DESC) AS rn FROM valid) v
+  WHERE rn <= 30 AND NOT EXISTS (SELECT 1 FROM c10_src c WHERE c.elder_id = v.elder_id AND c.date = v.date AND c.is_deviation))
+WHERE cnt >= 14 WINDOW w AS (PARTITION BY elder_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""
+_dev = "(t.{f} - t.p_{f}) / b.scale_{f}"
 CTES["half"] = f"""
-SELECT elder_id, {fs('avg(abs(train_{f})) AS rm_{f}')}, {fs('stddev_pop(abs(train_{f})) AS rs_{f}')}, {fs('avg(train_{f}) AS sm_{f}')},
-  {fs('stddev_pop(train_{f}) AS ss_{f}')} FROM wscored WHERE day(date) % 2 = 0 GROUP BY 1"""
+SELECT elder_id, max(t.date) AS tuned_on, count(*) AS nw, {fs(f'avg(abs({_dev})) AS rm_{{f}}')}, {fs(f'stddev_pop(abs({_dev})) AS rs_{{f}}')},
+  {fs(f'avg({_dev}) AS sm_{{f}}')}, {fs(f'stddev_pop({_dev}) AS ss_{{f}}')}
+FROM tuned t JOIN base b USING (elder_id) WHERE np = 7 GROUP BY 1"""
+CTES["tuned_stats"] = f"""
+SELECT elder_id, h.tuned_on, h.nw, {", ".join(fs(f'0.7::DOUBLE * b.{c}_{{f}} + 0.3::DOUBLE * h.{c}_{{f}} AS {c}_{{f}}') for c in ("rm", "rs", "sm", "ss"))}
+FROM half h JOIN base b USING (elder_id)"""
 _mix = lambda c, n: r(f"coalesce(0.7::DOUBLE * b.{c}_{{f}} + 0.3::DOUBLE * h.{c}_{{f}}, b.{c}_{{f}})", n)
 oracle("merged_residual_stats", _long(
     f"SELECT elder_id, '{{f}}' AS feature, {_mix('rm', 'resid_mean')}, {_mix('rs', 'resid_std')}, {_mix('sm', 'signed_mean')}, {_mix('ss', 'signed_std')}",
     "base b LEFT JOIN half h USING (elder_id)"))
+_tuned_limit = f"{weighted('n.rm_{f}')} + 2.5::DOUBLE * {weighted('n.rs_{f}')}"
+oracle("weekly_baselines", _long(
+    f"""SELECT elder_id, CAST(n.tuned_on AS VARCHAR) AS train_date, b.n_train_days, n.nw AS n_windows,
+  {r(_tuned_limit, 'static_threshold')},
+  CAST(w.ewma_n_at_train AS BIGINT) AS ewma_n_at_train, {r('w.ewma_mean_at_train', 'ewma_mean_at_train')}, {r('w.ewma_var_at_train', 'ewma_var_at_train')},
+  '{{f}}' AS feature, {r('b.mean_{f}', 'scaler_mean')}, {r('b.scale_{f}', 'scaler_scale')}, {r('n.rm_{f}', 'resid_mean')},
+  {r('n.rs_{f}', 'resid_std')}, {r('n.sm_{f}', 'signed_mean')}, {r('n.ss_{f}', 'signed_std')}""",
+    "tuned_stats n JOIN base b USING (elder_id) JOIN warm_end w USING (elder_id)"))
 oracle("cold_start_scores", f"SELECT {KD}, {r('anomaly_score')}, is_deviation, {', '.join(r(f'z_{f}') for f in FEATURES)} FROM c30_src")
 oracle("mean_forecast", f"SELECT {KD}, n_hist, {', '.join(r(f'past_{f}') for f in FEATURES)} FROM hist")
 _std = lambda v, n: f"(CASE WHEN {n} < 2 THEN 1.0 ELSE greatest(sqrt({v}), 1e-8) END)"
@@ -679,7 +698,8 @@ oracle("score_percentiles", f"""
 SELECT elder_id, count(*) AS n_scores, {r('CASE WHEN count(*) < 3 THEN max(anomaly_score) + 2.5 ELSE quantile_cont(anomaly_score, 0.9) END', 'score_percentile')}
 FROM cold GROUP BY 1""")
 _some, _rows = "names <> ''", ", ".join(r(c) for c in ("anomaly_score", "static_threshold", "ewma_threshold", "dynamic_threshold"))
-for _q, _p in (("daily_results", "std"), ("daily_results_sensitive", "low")):
+for _q, _p in (("daily_results", "std"), ("daily_results_stored", "std"), ("daily_results_two_versions", "std"),
+               ("daily_results_sensitive", "low")):
     oracle(_q, f"""
 SELECT {KD}, data_quality, CAST(missing_count AS BIGINT) AS missing_count, status, {_rows}, is_deviation, in_observation_period,
   {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ('ewma_n', 'judged_streak', 'consecutive_deviation_days', 'reported_streak', 'risk_level'))},

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from driftwatch.config import DAY, FEATURES, KEY, RISK_RULES, Settings
 from driftwatch.functions.text import add, array, each
-from driftwatch.models import gru
 from driftwatch.operators import (acoustic, activity, alerts, assemble, baseline, dialogue, ewma, health, metrics,
                                   quality, report, risk, scoring, sleep, social)
 from driftwatch.operators.asof import as_of_join
@@ -285,17 +284,22 @@ def finetune_days(spark, d):
 
 @query
 def merged_residual_stats(spark, d):
-    """Old statistics blended with those of the same people's second window set."""
-    w = _windows(spark, d)
-    old = baseline.mean_baselines(w)
-    half = w.filter("is_window").filter(F.dayofmonth(DAY) % 2 == 0).groupBy(KEY).agg(*[
-        F.expr(array(t) + f" AS {n}") for n, t in (
-            ("resid_mean", "avg(abs(train_{f}))"), ("resid_std", "stddev_pop(abs(train_{f}))"),
-            ("signed_mean", "avg(train_{f})"), ("signed_std", "stddev_pop(train_{f})"))])
-    return tidy(_long_baselines(baseline.merge_residual_stats(old, half)).select(
+    """Statistics at training blended with those of the fine-tune days, for everyone with a baseline."""
+    old = baseline.mean_baselines(_windows(spark, d))
+    bad = _cold(spark, d, Settings(fallback_sigma=1.0)).filter("is_deviation")
+    recent = baseline.recent_stats(baseline.finetune_days(_valid(spark, d), bad), old)
+    return tidy(_long_baselines(baseline.merge_residual_stats(old, recent)).select(
         KEY, "feature", "resid_mean", "resid_std", "signed_mean", "signed_std"))
 
 
+@query
+def weekly_baselines(spark, d):
+    """Second versions of the moving-average baselines from recent days without deviations (cold start at 1 sigma)."""
+    bad = _cold(spark, d, Settings(fallback_sigma=1.0)).withColumn("saved", F.lit(True))
+    out = weekly.retrain(_days(spark, d), bad, baseline.mean_baselines(_windows(spark, d)))
+    return tidy(_long_baselines(out))
+
+
 # ---- scoring -------------------------------------------------------------
 
 @query
@@ -348,6 +352,28 @@ def daily_results(spark, d):
     return _result_table(_results(spark, d, Settings()))
 
 
+def _stored_baselines(spark, *versions: DataFrame) -> DataFrame:
+    path = live.work_folder(spark, "baselines")
+    for base in versions:
+        tables.append_baselines(base, path)
+    return spark.read.parquet(path)
+
+
+@query
+def daily_results_stored(spark, d):
+    """The daily job with baselines from the baseline table; equal to the job that makes them in passing."""
+    base = _stored_baselines(spark, daily.first_baselines(_days(spark, d)))
+    return _result_table(daily.daily_job(_daily(spark, d), Settings(), baselines=base))
+
+
+@query
+def daily_results_two_versions(spark, d):
+    """A second version that says the same, dated nine days later: judgement goes on as if there were one."""
+    first = daily.first_baselines(_days(spark, d)).withColumn("first_train_date", F.col("train_date"))
+    second = first.withColumn("version", F.lit(2)).withColumn("train_date", F.date_add("train_date", 9))
+    return _result_table(daily.daily_job(_daily(spark, d), Settings(), baselines=_stored_baselines(spark, first, second)))
+
+
 @query
 def daily_results_sensitive(spark, d):
     """The daily job with low limits."""
@@ -630,34 +656,6 @@ def alert_rate(spark, d):
     return tidy(metrics.alert_rate(df, people, "2024-01-08", "2024-01-28", 2))
 
 
-# ---- trained forecasters (no SQL equivalent) ----------------------------
-
-@query
-def gru_baselines(spark, d):
-    base = gru.train(_windows(spark, d))
-    return tidy(base.select(KEY, "train_date", "n_train_days", "n_windows", "static_threshold", "ewma_n_at_train",
-                            "first_loss", "best_loss", "epochs_run"))
-
-
-@query
-def gru_results(spark, d):
-    """The daily job with a recurrent forecaster per person."""
-    df = daily.daily_job(_daily(spark, d), SENSITIVE, baselines=gru.train(_windows(spark, d), SENSITIVE),
-                         predictor=gru.predictor(SENSITIVE))
-    state = F.aggregate("hidden_state", F.lit(0.0), lambda a, x: a + x * x)
-    return tidy(df.select(*KD, "status", "anomaly_score", "dynamic_threshold", "is_deviation", "risk_level",
-                          F.sqrt(state).alias("hidden_norm")))
-
-
-@query
-def gru_finetune(spark, d):
-    """Second version of the forecasters from recent days without cold-start deviations."""
-    days = _days(spark, d)
-    bad = _cold(spark, d, Settings(fallback_sigma=1.5)).withColumn("saved", F.lit(True))
-    out = weekly.retrain(days, bad, gru.train(_windows(spark, d)))
-    return tidy(out.select(KEY, "version", "train_date", "static_threshold", "first_loss", "best_loss", "epochs_run"))
-
-
 # ---- streams -------------------------------------------------------------
 
 def _stream(spark, d):

@@ -12,10 +12,13 @@ from driftwatch.functions.scalars import safe_double, total
 
 
 def project_modality(df: DataFrame, modality: str) -> DataFrame:
-    """Key, day and the modality's features as doubles; absent columns become NULL."""
-    if modality not in MODALITIES:
-        raise ValueError(f"unknown modality: {modality}")
+    """Key, day and the modality's features as doubles; absent columns become NULL.
+
+    A modality of another name (a plug-in) brings those of the ten features that it has.
+    """
     have = set(df.columns)
+    if modality not in MODALITIES:
+        return df.select(KEY, DAY, *[safe_double(f).alias(f) for f in FEATURES if f in have])
     return df.select(KEY, DAY, *[
         (safe_double(f) if f in have else F.lit(None).cast("double")).alias(f) for f in MODALITIES[modality]])
 

@@ -124,6 +124,38 @@ def merge_residual_stats(old: DataFrame, new: DataFrame, s: Settings = DEFAULTS)
         blend_stats(c, c, f"_new_{c}", s) if c in RESIDUAL_STATS else c for c in old.columns])
 
 
+def recent_stats(recent: DataFrame, baselines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Residual statistics of the days of ``finetune_days``: each against the ``window`` kept rows before it, in units
+    of the person's scaler as it is. People without a full window have no row."""
+    w = f"OVER ({BY_PERSON} ORDER BY {DAY} ROWS BETWEEN {s.window} PRECEDING AND 1 PRECEDING)"
+    rows = add(recent, f"count(1) {w} AS _n_past", each("avg({f}) " + w + " AS _past_{f}"))
+    rows = add(rows.filter(f"_n_past = {s.window}").join(baselines.select(KEY, "scaler_scale"), KEY),
+               each("({f} - _past_{f}) / scaler_scale[{i}] AS _d_{f}"))
+    return rows.groupBy(KEY).agg(F.max(DAY).alias("tuned_on"), F.count(F.lit(1)).alias("n_windows"), *[
+        F.expr(f"{array(t)} AS {n}") for n, t in (
+            ("resid_mean", "avg(abs(_d_{f}))"), ("resid_std", "stddev_pop(abs(_d_{f}))"), ("signed_mean", "avg(_d_{f})"),
+            ("signed_std", "stddev_pop(_d_{f})"))])
+
+
+def retrained(recent: DataFrame, baselines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Next version of moving-average baselines from the days of ``finetune_days``.
+
+    The scaler and the EWMA state at the first training stay; ``recent_stats`` are blended with
+    the old statistics, and the static threshold follows.
+    """
+    base = baselines.filter(F.col("model") == "mean")
+    others = [c for c in base.columns if c not in (KEY, "first_train_date", "static_threshold")]
+    first = "coalesce(first_train_date, train_date)" if "first_train_date" in base.columns else "train_date"
+    fresh = recent_stats(recent, base, s)
+    new = fresh.select(KEY, *[F.col(c).alias(f"_new_{c}") for c in fresh.columns if c != KEY])
+    changed = {"version": "version + 1 AS version", "train_date": "_new_tuned_on AS train_date",
+               "n_windows": "_new_n_windows AS n_windows"}
+    out = base.join(new, KEY).selectExpr(KEY, *[
+        blend_stats(c, c, f"_new_{c}", s) if c in RESIDUAL_STATS else changed.get(c, c) for c in others],
+        f"{first} AS first_train_date")
+    return add(out, static_threshold("resid_mean", "resid_std", s) + " AS static_threshold")
+
+
 def finetune_days(valid_days: DataFrame, deviations: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Last ``recent_days`` valid rows without deviation days, if enough are left."""
     person = Window.partitionBy(KEY)

@@ -23,7 +23,7 @@ STD_IF_FEW, STD_FLOOR = 1.0, 1e-8
 
 
 def max_rows(alpha: float) -> int:
-    """Longest sequence for which (1 - alpha)^-n stays far inside the double range."""
+    """Longest run for which (1 - alpha)^-n stays far inside the double range."""
     return int(290 * math.log(10) / -math.log1p(-alpha))
 
 
@@ -33,10 +33,10 @@ def ewma_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], score:
     """Add ``n_before, mean_before, var_before, ewma_n, ewma_mean, ewma_var``.
 
     The recursion is written as running sums of ``x / (1-a)^n``, which are plain window
-    aggregates: one sort per key, and no array of a key's history. All addends of the
-    variance are positive, so nothing cancels. The closed form holds for ``max_rows(alpha)``
-    rows per key (13 000 at the default, which is 35 years of days). For faster decay use
-    ``ewma_fold``, which has no such limit.
+    aggregates: no array of a key's history. All addends of the variance are positive, so
+    nothing cancels. The sums start anew in every block of half ``max_rows(alpha)`` rows from the
+    end of the block before, so they never leave the range of doubles, whatever the length
+    and alpha. What lies two blocks back has decayed to less than 1e-145 of itself.
 
     ``seed`` names columns (mean, var, n), constant per key, to continue from. Rows where the
     ``only`` column is false neither change the state nor get one.
@@ -52,12 +52,24 @@ def ewma_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], score:
     # Without earlier scores the first one is the state itself and has no addend.
     df = add(df, f"CASE WHEN _n0 > 0 THEN {mean0} ELSE _x1 END AS _m0",
              f"CASE WHEN _n0 > 0 THEN {var0} ELSE 0D END AS _v0", "CASE WHEN _n0 > 0 THEN _i ELSE _i - 1 END AS _k")
-    df = add(df, f"pow({q}, _k) AS _decay", f"pow({q}, -_k) AS _grow")
-    df = add(df, f"sum(CASE WHEN _k > 0 THEN _x * _grow END){upto} AS _sum")
-    df = add(df, f"CASE WHEN _x IS NOT NULL THEN _decay * (_m0 + {a} * coalesce(_sum, 0D)) END AS ewma_mean")
+    size = max(1, max_rows(alpha) // 2)
+    df = add(df, f"CAST(floor(greatest(_k - 1, 0) / {size}) AS BIGINT) AS _b")
+    df = add(df, f"_k - _b * {size} AS _j")
+    df = add(df, f"pow({q}, _j) AS _decay", f"pow({q}, -_j) AS _grow")
+    # All windows below ask for the order (keys, block, row), so they share one sort.
+    by, rows = ", ".join(keys), ", ".join(order)
+    inside = f" OVER (PARTITION BY {by}, _b ORDER BY {rows} {UPTO})"
+    upto, past = (f" OVER (PARTITION BY {by} ORDER BY _b, {rows} {frame})" for frame in (UPTO, BEFORE))
+    carried = lambda first, end: (
+        f"CASE _b WHEN 0 THEN {first} WHEN 1 THEN {end} + pow({q}, {size}) * {first} ELSE {end} END")
+    ended = lambda total: f"last(CASE WHEN _x IS NOT NULL AND _j = {size} THEN _decay * {a} * {total} END, true){past}"
+    df = add(df, f"sum(CASE WHEN _k > 0 THEN _x * _grow END){inside} AS _sum")
+    df = add(df, f"{ended('_sum')} AS _end")
+    df = add(df, f"CASE WHEN _x IS NOT NULL THEN _decay * ({carried('_m0', '_end')} + {a} * coalesce(_sum, 0D)) END AS ewma_mean")
     df = add(df, f"coalesce(last(ewma_mean, true){past}, CASE WHEN _n0 > 0 THEN _m0 END) AS mean_before")
-    df = add(df, f"sum(coalesce(pow(_x - mean_before, 2D) * _grow, 0D)){upto} AS _gaps")
-    df = add(df, f"CASE WHEN _x IS NOT NULL THEN _decay * (_v0 + {a} * _gaps) END AS ewma_var")
+    df = add(df, f"sum(coalesce(pow(_x - mean_before, 2D) * _grow, 0D)){inside} AS _gaps")
+    df = add(df, f"{ended('_gaps')} AS _gap_end")
+    df = add(df, f"CASE WHEN _x IS NOT NULL THEN _decay * ({carried('_v0', '_gap_end')} + {a} * _gaps) END AS ewma_var")
     return df.selectExpr(*kept, "CASE WHEN _x IS NOT NULL THEN _n0 + _i - 1 END AS n_before", "mean_before",
                          f"coalesce(last(ewma_var, true){past}, _v0) AS var_before",
                          "CASE WHEN _x IS NOT NULL THEN _n0 + _i END AS ewma_n", "ewma_mean", "ewma_var")

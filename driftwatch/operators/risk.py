@@ -13,7 +13,7 @@ from driftwatch.functions.text import UPTO, add, num, plus
 
 STD_FLOOR = 1e-8       # fixed value: smallest deviation used in a risk z-score
 SCORE_MIN = 1.0        # fixed value: a risk type's score must be above this
-LOOKBACK = 7           # fixed value: results looked at by every streak
+LOOKBACK = 7           # fixed value: results looked at by a level's streak and its score statistics
 
 
 def _order(keys: Sequence[str]) -> str:
@@ -47,6 +47,8 @@ def streaks(results: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
 
 def risk_level(s: Settings = DEFAULTS) -> str:
     """Level from ``judged_streak``, ``avg_anomaly_7d`` and ``max_anomaly_7d``."""
+    if max(s.severe_days, s.warning_days, s.attention_days) > LOOKBACK:
+        raise ValueError(f"a level's streak is counted over {LOOKBACK} results; no threshold can lie beyond")
     held = f"avg_anomaly_7d > {num(s.sustained_avg)}"
     return (f"CASE WHEN judged_streak >= {s.severe_days} AND {held} THEN 3 "
             f"WHEN judged_streak >= {s.warning_days} AND {held} THEN 2 "
@@ -71,8 +73,8 @@ def classify(results: DataFrame, s: Settings = DEFAULTS, signed: bool = True,
     Rules are few and known when the plan is built, so they become expressions on the wide
     row: no join, no explode. Residuals keep their sign by default, so that "down" means
     below the prediction; ``signed=False`` uses absolute residuals and their statistics.
-    Rows without residual statistics meet no rule. The streak counts trailing days, within
-    the last 7 results, that exceed and score high enough.
+    Rows without residual statistics meet no rule. The streak counts trailing days that
+    exceed and score high enough, up to the last 7 results or as many as the rule asks for.
     """
     kind, value = ("signed", "signed") if signed else ("resid", "res")
     at = {f: i for i, f in enumerate(FEATURES)}
@@ -86,7 +88,7 @@ def classify(results: DataFrame, s: Settings = DEFAULTS, signed: bool = True,
                  for f, d in zip(r.features, r.directions)), r.key) for r in s.rules])
     df = add(df, [f"coalesce(size({r.key}_features) >= 1 AND {r.key}_score > {num(SCORE_MIN)}, false) AS {r.key}_meets"
                   for r in s.rules], f"row_number() OVER ({_order(keys)}) AS _n")
-    df = add(df, [f"CAST(least({run_length(f'{r.key}_meets', _order(keys))}, {LOOKBACK}) AS BIGINT) AS {r.key}_days"
+    df = add(df, [f"CAST(least({run_length(f'{r.key}_meets', _order(keys))}, {max(LOOKBACK, r.consecutive_days)}) AS BIGINT) AS {r.key}_days"
                   for r in s.rules])
     df = add(df, [f"{r.key}_meets AND {r.key}_days >= {r.consecutive_days} AS {r.key}_active" for r in s.rules])
     per_rule = [f"{r.key}_{c}" for r in s.rules for c in ("score", "features", "meets", "days", "active")]

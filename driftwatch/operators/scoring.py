@@ -39,14 +39,25 @@ def latest_baseline(baselines: DataFrame) -> DataFrame:
             .select(KEY, "_b.*"))
 
 
-def attach_baseline(days: DataFrame, baselines: DataFrame, as_of: bool = False) -> DataFrame:
+def with_first_training(baselines: DataFrame) -> DataFrame:
+    """``first_trained``: the day of a person's first version, which later versions carry on.
+
+    Judgement, the observation period and the running state start there and outlive a retrain.
+    """
+    first = "coalesce(first_train_date, train_date)" if "first_train_date" in baselines.columns else "train_date"
+    return add(baselines, f"min({first}) OVER (PARTITION BY {KEY}) AS first_trained")
+
+
+def attach_baseline(days: DataFrame, baselines: DataFrame, as_of: bool = True) -> DataFrame:
     """Days with their baseline columns; NULL where the person has none (yet).
 
-    ``as_of`` takes the version trained last before each day, for backfills over several.
+    By default each day takes the version trained last before it; ``as_of=False`` takes the
+    newest version for all days.
     """
+    known = with_first_training(baselines)
     if as_of:
-        return as_of_join(days, baselines, [KEY], DAY, "train_date")
-    return days.join(latest_baseline(baselines), KEY, "left")
+        return as_of_join(days, known, [KEY], DAY, "train_date")
+    return days.join(latest_baseline(known), KEY, "left")
 
 
 def _last_week(s: Settings) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.config import DAY, DEFAULTS, FEATURES, KEY, Settings
 from driftwatch.functions.text import each, num
-from driftwatch.operators import alerts, baseline, health, quality, risk, scoring
+from driftwatch.operators import alerts, assemble, baseline, health, quality, risk, scoring
 
 SAVED = ("success", "observation", "cold_start_fallback")  # fixed value: statuses that leave a result
 
@@ -36,22 +36,22 @@ def first_baselines(days: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def score_days(days: DataFrame, baselines: DataFrame | None = None, s: Settings = DEFAULTS,
-               as_of: bool = False, predictor=None) -> DataFrame:
+               as_of: bool = True, predictor=None) -> DataFrame:
     """One result row per valid day.
 
     Without ``baselines``, each person's moving-average baseline is worked out from the same
     days in passing. ``predictor`` maps rows with a baseline to rows with normalised
-    ``pred_<f>``; the default is the moving average. Days up to the training day take the
-    cold-start score.
+    ``pred_<f>``; the default is the moving average. Days up to the first training day take
+    the cold-start score; a retrain changes the model of later days, not the running state.
     """
-    stored = days.filter("stored")
+    stored = assemble.check_features(days).filter("stored")
     if baselines is None:
-        stored = baseline.own_baseline(training_windows(stored, s), s)
+        stored = baseline.own_baseline(training_windows(stored, s), s).withColumn("first_trained", F.col("train_date"))
     stored = scoring.mean_forecast(stored, s) if predictor is None else scoring.window_rows(stored, s)
     rows = scoring.cold_start(quality.usable(stored), s)
     if baselines is not None:
         rows = scoring.attach_baseline(rows, baselines, as_of)
-    rows = rows.withColumn("has_baseline", F.coalesce(F.col("train_date") < F.col(DAY), F.lit(False)))
+    rows = rows.withColumn("has_baseline", F.coalesce(F.col("first_trained") < F.col(DAY), F.lit(False)))
     rows = rows.withColumn("scored", F.col("has_baseline") & (F.col("n_hist") == s.window))
     rows = scoring.decide(scoring.residuals((predictor or scoring.predict_mean)(rows), s), s)
     return with_status(rows, s)
@@ -92,7 +92,7 @@ def judge_days(scored: DataFrame, s: Settings = DEFAULTS, signed: bool = True) -
 
 
 def daily_job(daily: DataFrame, s: Settings = DEFAULTS, end=None, baselines: DataFrame | None = None,
-              as_of: bool = False, signed: bool = True, predictor=None) -> DataFrame:
+              as_of: bool = True, signed: bool = True, predictor=None) -> DataFrame:
     """Results of every valid day of every person."""
     return judge_days(score_days(labelled_days(daily, s, end), baselines, s, as_of, predictor), s, signed)
 

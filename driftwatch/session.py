@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -64,3 +66,22 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def shuffle_width(spark: SparkSession) -> int:
     """How many partitions an explicit range shuffle should use."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared checkpoint folder.
+
+    Where none is set (tests on one machine) a temporary one is made; on a cluster that is an
+    error, because executors could not see it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _one_machine_root()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _one_machine_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-")

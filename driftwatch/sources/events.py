@@ -108,6 +108,7 @@ def daily_vectors(utt: DataFrame) -> DataFrame:
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     """The event table as a stream, with the columns of ``events``."""
     schema = table(spark, folder, "events").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-           .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    # The pattern matches this one name, be it a file or a folder of part files.
+    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+           .parquet(f"{folder}/events.parque[t]"))
     return with_event_columns(raw)

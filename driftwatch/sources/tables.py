@@ -1,17 +1,20 @@
 """Feature, result, baseline, snapshot, alert and report tables.
 
-Daily tables are Parquet partitioned by ``date`` and written with dynamic partition
-overwrite: writing a day again replaces it, so a repeated job never doubles rows. Reads by
-date range prune partitions.
+Tables are Parquet partitioned by day, week or version. Rows replace those of the same person
+and partition; rows of other people stay, whether a job writes a whole day or a part of it. A
+repeated job never doubles rows. Reads by date range prune partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwatch.config import DAY, FEATURES, KEY
+from driftwatch.session import work_folder
 
 FEATURE_SCHEMA = T.StructType(
     [T.StructField(DAY, T.DateType())] + [T.StructField(f, T.DoubleType()) for f in FEATURES]
@@ -38,21 +41,54 @@ def one_row_per_day(df: DataFrame) -> DataFrame:
             .select(KEY, DAY, *[F.col("_r")[c].alias(c) for c in others]))
 
 
-def save_daily(df: DataFrame, path: str) -> None:
-    """Write rows by day; the days in ``df`` are replaced, the others stay.
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(place) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(place))
+
+
+def _replace(df: DataFrame, path: str, part: str, asked: Sequence | None = None) -> None:
+    """Write ``df`` by ``part``, replacing rows of the same person and part.
 
-    Rows are spread by (day, person) hash first, so one day is written by several tasks.
+    The new rows are written aside once; stored rows of the touched parts that no new row
+    replaces are read (only those partitions) and written with them. ``asked`` names parts
+    that the job has worked out for everyone: all their stored rows go, also where nothing came.
     """
-    (df.repartition(DAY, F.pmod(F.xxhash64(KEY), F.lit(16)))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path))
+    spark = df.sparkSession
+    aside = work_folder(spark, "rows")
+    df.write.parquet(aside)
+    fresh = out = spark.read.parquet(aside)
+    if _exists(spark, path):
+        old = spark.read.parquet(path)
+        kept = old.join(fresh.select(part).distinct(), part, "left_semi").join(
+            fresh.select(KEY, part).distinct(), [KEY, part], "left_anti")
+        if asked is not None:
+            kept = kept.filter(~F.col(part).isin(list(asked)))
+        out = fresh.unionByName(kept, allowMissingColumns=True)
+    (out.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(part).parquet(path))
+    if asked is not None:
+        came = {str(r[0]) for r in fresh.select(part).distinct().collect()}
+        for value in {str(a) for a in asked} - came:
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}={value}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def save_daily(df: DataFrame, path: str, days: Sequence | None = None) -> None:
+    """Write rows by day; rows of the same person and day are replaced, the others stay.
+
+    ``days``: the days this job has worked out for everyone. Their stored rows go even where
+    the job gives none, so a withdrawn alert does not stay. Large days are split among tasks.
+    """
+    _replace(df, path, DAY, days)
 
 
-def save_daily_features(df: DataFrame, path: str) -> None:
-    save_daily(df.select(KEY, DAY, *FEATURES, "missing_count", "data_quality"), path)
+def save_daily_features(df: DataFrame, path: str, days: Sequence | None = None) -> None:
+    save_daily(df.select(KEY, DAY, *FEATURES, "missing_count", "data_quality"), path, days)
 
 
-def save_daily_results(df: DataFrame, path: str) -> None:
-    save_daily(df, path)
+def save_daily_results(df: DataFrame, path: str, days: Sequence | None = None) -> None:
+    save_daily(df, path, days)
 
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
@@ -85,11 +121,14 @@ def last_days(df: DataFrame, n: int, until=None) -> DataFrame:
 # ---- baselines -----------------------------------------------------------
 
 def append_baselines(df: DataFrame, path: str) -> None:
-    """Add baseline versions; existing ones are never changed.
+    """Add baseline versions; a person's version that is written again replaces itself.
 
-    Versions are partitions, so reading one of them skips the weights of all others.
+    Versions are partitions, so reading one of them skips the weights of all others. The day of
+    a person's first training goes with every version.
     """
-    df.write.mode("append").partitionBy("version").parquet(path)
+    if "train_date" in df.columns and "first_train_date" not in df.columns:
+        df = df.withColumn("first_train_date", F.col("train_date"))
+    _replace(df, path, "version")
 
 
 def read_baselines(spark: SparkSession, path: str, version: int | None = None, back: int = 0) -> DataFrame:
@@ -103,14 +142,13 @@ def read_baselines(spark: SparkSession, path: str, version: int | None = None, b
 
 # ---- alerts, reports, documents -----------------------------------------
 
-def append_alerts(df: DataFrame, path: str) -> None:
-    save_daily(df, path)
+def append_alerts(df: DataFrame, path: str, days: Sequence | None = None) -> None:
+    save_daily(df, path, days)
 
 
 def save_reports(df: DataFrame, path: str) -> None:
-    """Report rows keyed by person and week; a week written again is replaced."""
-    (df.select(KEY, "week_start", "week_end", "report").repartition("week_start", F.pmod(F.xxhash64(KEY), F.lit(16)))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week_start").parquet(path))
+    """Report rows keyed by person and week; a person's week written again is replaced."""
+    _replace(df.select(KEY, "week_start", "week_end", "report"), path, "week_start")
 
 
 def result_documents(results: DataFrame) -> DataFrame:

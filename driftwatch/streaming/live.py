@@ -6,40 +6,18 @@ watermark instead of by the next arrival; how many were dropped is in the query
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftwatch.config import DAY, KEY
 from driftwatch.operators.acoustic import features_from_sums, utterance_measures
+from driftwatch.session import work_folder
 
 SNAPSHOT_SECONDS = 1800  # fixed value: pause between snapshots
 LATE = "1 hour"
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
-
-    Where none is set (tests on one machine) a temporary one is made; on a cluster that is an
-    error, because executors could not see it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _one_machine_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@functools.cache
-def _one_machine_root() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def with_event_time(chunks: DataFrame, chunk_ts: str = "chunk_ts", offset: str = "start_sec") -> DataFrame:
     """``ts`` = chunk time + offset in seconds."""
     us = F.unix_micros(chunk_ts) + F.round(F.coalesce(offset, F.lit(0.0)) * 1_000_000).cast("long")
@@ -86,23 +64,26 @@ def append_history(snapshots: DataFrame, path: str, checkpoint: str, at: str = "
 
 
 def keep_latest(snapshots: DataFrame, path: str, checkpoint: str, at: str = "ts", **trigger) -> StreamingQuery:
-    """Write each batch's last snapshot per person and day under its batch number.
+    """Write each batch's last snapshot per person and day under its day and batch number.
 
-    A repeated batch replaces its own folder, so nothing is written twice and nothing that is
+    A repeated batch replaces its own folders, so nothing is written twice and nothing that is
     being read is overwritten; ``read_latest`` lets the last write of a day win.
     """
     def write(batch: DataFrame, number: int) -> None:
         values = [c for c in batch.columns if c != KEY]
         (batch.groupBy(KEY, F.to_date(at).alias(DAY)).agg(F.max_by(F.struct(*values), at).alias("s"))
-              .select(KEY, DAY, "s.*").write.mode("overwrite").parquet(f"{path}/batch={number}"))
+              .select(KEY, DAY, "s.*", F.lit(number).alias("batch"))
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, "batch").parquet(path))
 
     return (snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": f"{SNAPSHOT_SECONDS} seconds"})).start())
 
 
-def read_latest(spark: SparkSession, path: str, at: str = "ts") -> DataFrame:
-    """One snapshot per person and day from the folders of ``keep_latest``."""
+def read_latest(spark: SparkSession, path: str, at: str = "ts", first=None, last=None) -> DataFrame:
+    """One snapshot per person and day from the folders of ``keep_latest``; only those of the days asked are read."""
     df = spark.read.parquet(path)
+    for day, keep in ((first, F.col(DAY) >= F.lit(first).cast("date")), (last, F.col(DAY) <= F.lit(last).cast("date"))):
+        df = df.filter(keep) if day is not None else df
     values = [c for c in df.columns if c not in (KEY, DAY, "batch")]
     return df.groupBy(KEY, DAY).agg(F.max_by(F.struct(*values), F.struct(at, "batch")).alias("s")).select(
         KEY, DAY, "s.*")

@@ -100,14 +100,17 @@ class RunningEwma(StatefulProcessor):
         self.alpha, self.sigma, self.min_samples = s.ewma_alpha, s.sigma, s.ewma_min_samples
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ewma", "mean double, var double, n bigint")
+        self.state = handle.getValueState("ewma", "mean double, var double, n bigint, day date")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         a = self.alpha
-        mean, var, n = self.state.get() if self.state.exists() else (0.0, 0.0, 0)
+        mean, var, n, last = self.state.get() if self.state.exists() else (0.0, 0.0, 0, None)
         out = []
         for day, score, static in (pd.concat(list(rows)).sort_values(DAY)
                                    [[DAY, "anomaly_score", "static_threshold"]].itertuples(index=False, name=None)):
+            if last is not None and day <= last:
+                continue
+            last = day
             limit = static
             if n >= self.min_samples:
                 limit = min(static, mean + self.sigma * (max(sqrt(var), STD_FLOOR) if n >= 2 else STD_IF_FEW))
@@ -118,7 +121,7 @@ class RunningEwma(StatefulProcessor):
                 mean, var = (1 - a) * mean + a * score, a * (score - mean) ** 2 + (1 - a) * var
             n += 1
             out.append((key[0], day, score, before[0], before[1], before[2], limit, bool(score > limit), n, mean, var))
-        self.state.update((mean, var, n))
+        self.state.update((mean, var, n, last))
         yield pd.DataFrame(out, columns=[KEY, DAY, "anomaly_score", "n_before", "mean_before", "var_before",
                                          "dynamic_threshold", "is_deviation", "ewma_n", "ewma_mean", "ewma_var"])
 
@@ -129,8 +132,9 @@ class RunningEwma(StatefulProcessor):
 def running_ewma(scores: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Compare each day's score with the state before it, then add it to the state.
 
-    ``scores``: a stream of ``(elder_id, date, anomaly_score, static_threshold)`` in date
-    order per person; a person sends one row per day, so state work is small and even.
+    ``scores``: a stream of ``(elder_id, date, anomaly_score, static_threshold)``, one row per
+    person and day. Days of one batch are taken in date order; a day at or before the last one
+    taken (a replay, or one that comes too late) neither changes the state nor gives a row.
     """
     scores.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     d, i = T.DoubleType(), T.LongType()
