@@ -55,6 +55,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 SHAPES = 1 << 11
+LONGEST = 48  # words of a chain in the training sample
 
 
 def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -128,7 +129,7 @@ class Crf:
         return out
 
 
-def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.2, ridge: float = 1e-3) -> Crf:
+def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.2, ridge: float = 1e-3) -> Crf:
     """Maximum likelihood by full-batch Adam; ``chains`` are (shapes, labels) of a bounded sample."""
     n_labels = len(LABELS)
     emit, move = np.zeros((3, SHAPES, n_labels)), np.zeros((n_labels, n_labels))
@@ -204,7 +205,7 @@ def _labelled(texts, every: int):
         marked = np.add.reduceat(label > 0, first) > 0
         near = np.add.reduceat((shape // 256 >= 3) | (shape // 4 % 16 & 2 > 0), first) > 0
         codes = flat.span_hashes(block.data, w.start[first], w.end[last - 1])
-        keep = (marked | near | (codes % np.uint64(every) == 0)) & (last - first <= 256)
+        keep = (marked | near | (codes % np.uint64(every) == 0)) & (last - first <= LONGEST)
         for i in np.flatnonzero(keep).tolist():
             a, b = first[i], last[i]
             rows[0].append(2 if marked[i] else 1 if near[i] else 0)
@@ -214,8 +215,8 @@ def _labelled(texts, every: int):
     return [pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
 
 
-def labelled_chains(docs: DataFrame, size: int = 1500, every: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The labelled table: at most ``size`` distinct chains of each kind (see ``_labelled``), those of least hash."""
+def labelled_chains(docs: DataFrame, size: int = 500, every: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The labelled table: at most ``size`` distinct chains of each kind (see ``_labelled``) and ``LONGEST`` words at most, of least hash."""
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays(_labelled(batch.column("text"), every), ["kind", "code", "s", "y"])
@@ -247,7 +248,7 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def personal_data(docs: DataFrame, size: int = 1500) -> DataFrame:
+def personal_data(docs: DataFrame, size: int = 500) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base_spans.
 
     The CRF is trained on ``labelled_chains`` and decodes every word of every text; words that it labels
