@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm import flat
+from driftwatch.llm.common import stored
 from driftwatch.session import ship_package
 
 KINDS = ("assign", "access", "hex", "inferred")
@@ -169,12 +170,11 @@ def _found(texts: pa.Array):
 
 
 def _ordinary(block: flat.Block, every: int = 1024) -> list[str]:
-    """Tokens without a digit, one in ``every`` by hash: what credentials must be told from."""
+    """Tokens that are no candidates, one in ``every`` by hash: what credentials must be told from."""
     w = flat.words(block, "token")
     keep = (w.end - w.start >= 8) & (w.end - w.start <= 64)
     start, end = w.start[keep], w.end[keep]
-    digits = np.concatenate([[0], np.cumsum((block.data >= 48) & (block.data <= 57))])
-    keep = (flat.span_hashes(block.data, start, end) % np.uint64(every) == 0) & (digits[end] == digits[start])
+    keep = (flat.span_hashes(block.data, start, end) % np.uint64(every) == 0) & ~np.isin(start, candidates(block)[0])
     return [block.raw[a:b].tobytes().decode() for a, b in zip(start[keep].tolist(), end[keep].tolist(), strict=True)]
 
 
@@ -188,14 +188,12 @@ def labelled_credentials(docs: DataFrame, size: int = 300, others: int = 1000) -
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            rows = [(KINDS[k], v) for base, tokens in _found(texts)
-                    for k, v in [*((k, v) for *_, k, v in base), *((3, v) for *_, v in _free(base, tokens))]
-                    if len(v) <= 256]
+            rows = [(KINDS[k], v) for base, _ in _found(texts) for *_, k, v in base if len(v) <= 256]
             rows += [(KINDS[3], v) for block in flat.blocks(texts) for v in _ordinary(block)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
 
     ship_package(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(run, "kind string, value string").distinct()
+    rows = stored(docs.select("text").mapInArrow(run, "kind string, value string").distinct(), "credentials")
     out = defaultdict(list)
     for k, kind in enumerate(KINDS):
         picked = rows.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(size if k < 3 else others)
