@@ -161,7 +161,7 @@ def test_elias_fano_finds_every_member():
         assert (ef.find(q, np.zeros(universe, int), np.full(universe, n)) == want).all()
 
 
-@pytest.mark.parametrize("head", [3, 1 << 16])
+@pytest.mark.parametrize("head", [3, 1 << 20])
 def test_scores_equal_brute_force(table, odd, head, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", head)
     rng = random.Random(2)
