@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm import flat
+from driftwatch.llm.common import stored
 from driftwatch.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
@@ -223,7 +224,7 @@ def labelled_chains(docs: DataFrame, size: int = 500, every: int = 512) -> list[
 
     ship_package(docs.sparkSession)
     rows = docs.select("text").mapInArrow(run, "kind int, code long, s binary, y binary")
-    rows = rows.groupBy("kind", "code").agg(F.min(F.struct("s", "y")).alias("r"))
+    rows = stored(rows.groupBy("kind", "code").agg(F.min(F.struct("s", "y")).alias("r")), "chains")
     picked = [rows.filter(F.col("kind") == k).orderBy("code").limit(size) for k in (0, 1, 2)]
     return [(np.frombuffer(r.s, np.int16).astype(int), np.frombuffer(r.y, np.int8).astype(int))
             for part in picked for (r,) in part.select("r").collect()]
