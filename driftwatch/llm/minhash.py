@@ -6,7 +6,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.llm import flat
@@ -18,7 +18,6 @@ SHARE = 75         # fixed value: per cent of the union that two linked sets sha
 REGISTERS = 128    # buckets of a signature
 BAND = 4           # registers of a band; 32 bands miss a pair at 75 % once in 200,000 times
 MANTISSA = 10      # bits kept after the leading one of a bucket's minimum
-SKETCH = REGISTERS // 32
 _U = np.uint64
 
 
@@ -80,7 +79,7 @@ def margin(n: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, row, n_shingles, set_a, set_b (a digest of the set), sig, s0.. (two bits of each register)."""
+    """doc_id, text_key, row, n_shingles, set_a, set_b (a digest of the set), sig."""
     def run(batches):
         for batch in batches:
             parts: list[list] = [[] for _ in range(4)]
@@ -94,15 +93,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             if not parts[0]:
                 continue
             counts, digest, sig = (np.concatenate(p) for p in parts[:3])
-            low = (sig & 3).astype(_U).reshape(len(sig), SKETCH, 32)
-            sketch = (low << (2 * np.arange(32, dtype=_U))).sum(2, dtype=_U).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(counts.astype(np.int64)),
                  *(pa.array(digest[:, i].copy().view(np.int64)) for i in (0, 1)),
-                 pa.array([x.tobytes() for x in sig], pa.binary()), *(pa.array(sketch[:, i]) for i in range(SKETCH))], names)
+                 pa.array([x.tobytes() for x in sig], pa.binary())], names)
 
-    schema = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sig binary" + "".join(
-        f", s{i} long" for i in range(SKETCH))
+    schema = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sig binary"
     names = [p.split()[0] for p in schema.split(", ")]
     ship_package(docs.sparkSession)
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema).withColumn(
@@ -123,17 +119,27 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         f"100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Pairs whose full sets share enough; sets are made again from the texts of the documents in question only."""
-    def sets(batches):
+def _sets(rows: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(row, items): sorted shingle hashes of the asked ``rows``, made again from their texts."""
+    def run(batches):
         for batch in batches:
-            rows = []
+            out = []
             for block in flat.blocks(batch.column("text")):
                 values, counts = shingle_sets(block)
-                rows += [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(rows, pa.binary())], ["row", "items"])
+                out += [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])]
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "items"])
+
+    asked = stored(reps.join(rows.select("row").distinct(), "row").select(
+        "row", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "asked")
+    texts = docs.select("doc_id", "text").join(
+        bounded(asked, broadcast_rows),
+        F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
+    return stored(texts.select("row", "text").mapInArrow(run, "row long, items binary"), "sets").dropDuplicates(["row"])
+
 
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets share enough."""
     def check(batches):
         for batch in batches:
             keep, last, mine = [], None, None
@@ -145,18 +151,44 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows:
                 keep.append(100 * both >= SHARE * (len(mine) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    asked = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    asked = stored(reps.join(asked, "row").select("row", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "asked")
-    texts = docs.select("doc_id", "text").join(
-        bounded(asked, broadcast_rows),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
-    made = stored(texts.select("row", "text").mapInArrow(sets, "row long, items binary"), "sets")
-    made = made.dropDuplicates(["row"])
-    return (pairs.join(made.select(F.col("row").alias("b"), F.col("items").alias("y")), "b")
-            .join(made.select(F.col("row").alias("a"), F.col("items").alias("x")), "a")
+    return (pairs.join(sets.select(F.col("row").alias("b"), F.col("items").alias("y")), "b")
+            .join(sets.select(F.col("row").alias("a"), F.col("items").alias("x")), "a")
             .select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
+def _sharing_rare(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) with unlike labels that can be linked by where their rarest shingles stand.
+
+    Shingles that one set only has are left out: m of a set's n are elsewhere too. The others are ordered by how
+    many sets have them, so that a passage of many documents comes last. Two linked sets share at least
+    SHARE / (100 + SHARE) of both sizes together; so their first common shingle has at least as many places left
+    in either set. Only pairs with such a common shingle are formed: those that differ in enough places of their own,
+    or share frequent passages only, are never brought together.
+    """
+    def shingles(batches):
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")]
+            size = np.array([len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column("row").to_numpy(), size)), pa.array(np.repeat(size, size)),
+                 pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], ["row", "n", "item"])
+
+    spread = sets.mapInArrow(shingles, "row long, n long, item long")
+    shared = spread.groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    place = Window.partitionBy("row").orderBy("c", "item")
+    placed = (spread.join(shared, "item").withColumn("place", F.row_number().over(place))
+              .withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("row")))
+              .withColumn("left", F.col("m") - F.col("place") + 1).filter(f"100 * left >= {SHARE} * n"))
+    firsts = stored(placed.select("row", "n", "item", "left").join(labels, "row"), "rarest")
+    mixed = firsts.groupBy("item").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("item")
+    firsts = firsts.join(mixed, "item")
+    side = lambda x: firsts.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "label", "n", "left")])
+    return side("a").join(side("b"), "item").where(
+        f"row_a < row_b AND label_a <> label_b AND 100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b) AND "
+        f"{100 + SHARE} * least(left_a, left_b) >= {SHARE} * (n_a + n_b)").select(
+        F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(row, label): the smallest row reachable over ``edges`` (a, b), for every row in an edge.
 
@@ -184,9 +216,10 @@ def near_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
 
     Sets are distinct runs of five words (lower case; a shorter text is one run). Equal sets become one
     class first. Each class's registers are cut into bands; classes that share a band meet in a bucket. First each
-    one is held against its bucket's smallest member, which joins most of any large group with one pair each; then
-    pairs whose classes are still apart. A pair is estimated from its registers, and what the estimate cannot
-    rule out is verified on full sets. Texts are read twice; only those in question are kept.
+    one is held against its bucket's smallest member, which joins most of any large group with one pair each. Where a
+    bucket's members are still apart, their sets are compared by their rarest shingles, which loses no link. A pair
+    is estimated from its registers, and what the estimate cannot rule out is verified on full sets. Texts are read
+    three times; only those in question are kept.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Repeated rows are equal
     sets. A null doc_id counts as the largest: a group of such rows alone has a null component_id and
@@ -198,28 +231,23 @@ def near_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
                                 ["n_shingles", "set_a", "set_b"], ["doc_id", "row"], name="classes")
                      .select("doc_id", "row", "text_key", "n_shingles", F.col("first_row.row").alias("rep")), "classes")
     reps = rows.join(classes.filter("row = rep").select("row"), "row", "left_semi")
-    reps = stored(reps.select("row", "doc_id", "text_key", "n_shingles", "sig", *[f"s{i}" for i in range(SKETCH)]), "reps")
+    reps = stored(reps.select("row", "doc_id", "text_key", "n_shingles", "sig"), "reps")
     width = 2 * BAND
     keys = F.expr(f"transform(sequence(0, {REGISTERS // BAND - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")
     bands = reps.select("row", F.explode(keys).alias("key"))
     hubs = bands.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     members = stored(bands.join(hubs, "key").select("key", F.col("row").alias("b"), "a"), "buckets")
-    first = members.filter("a <> b").select("a", "b").distinct()
-    links = stored(_linked(stored(_likely(first, reps), "pairs"), reps, docs, broadcast_rows), "links")
+    first = stored(_likely(members.filter("a <> b").select("a", "b").distinct(), reps), "pairs")
+    asked = first.select(F.col("a").alias("row")).union(first.select(F.col("b").alias("row")))
+    links = stored(_linked(first, _sets(asked, reps, docs, broadcast_rows)), "links")
     labels = components(links)
-    apart = members.join(labels.withColumnRenamed("row", "b"), "b", "left").select(
-        "key", "b", F.coalesce("label", "b").alias("label"))
-    mixed = apart.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-    left = apart.join(mixed, "key").join(reps.drop("sig", "doc_id", "text_key").withColumnRenamed("row", "b"), "b")
-    left = stored(left, "apart")
-    one = left.select("key", F.col("b").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"),
-                      *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)])
-    distance = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(SKETCH))
-    second = one.join(left, "key").where(F.expr(
-        f"a < b AND la <> label AND 100 * least(na, n_shingles) >= {SHARE} * greatest(na, n_shingles) AND {distance} <= "
-        f"{REGISTERS} * ({1 - SHARE / 100} + greatest(0.2D, 2 / sqrt(least(na, n_shingles)))) + 10"))
-    second = second.select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(_linked(stored(_likely(second, reps), "pairs"), reps, docs, broadcast_rows), "links")
+    placed = members.select("key", F.col("b").alias("row")).join(labels, "row", "left").withColumn(
+        "label", F.coalesce("label", "row"))
+    mixed = placed.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
+    apart = stored(placed.join(mixed, "key").select("row", "label").distinct(), "apart")
+    sets = _sets(apart, reps, docs, broadcast_rows)
+    second = stored(_likely(_sharing_rare(sets, apart).join(first, ["a", "b"], "left_anti"), reps), "pairs")
+    more = stored(_linked(second, sets), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     labelled = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select(
