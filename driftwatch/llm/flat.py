@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from driftwatch.session import ship_package
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _SPREAD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 

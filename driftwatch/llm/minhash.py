@@ -119,6 +119,13 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         f"100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").mapInArrow(run, "a long, b long")
 
 
+def _slices(batches, rows: int = 256):
+    """Batches in parts of few rows: a row with a whole set in it, or what is made of it, is large."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def _sets(rows: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
     """(row, items): sorted shingle hashes of the asked ``rows``, made again from their texts."""
     def run(batches):
@@ -141,7 +148,7 @@ def _sets(rows: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows: int
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets share enough."""
     def check(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             keep, last, mine = [], None, None
             for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
                 if a != last:
@@ -166,7 +173,7 @@ def _sharing_rare(sets: DataFrame, labels: DataFrame) -> DataFrame:
     or share frequent passages only, are never brought together.
     """
     def shingles(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")]
             size = np.array([len(x) for x in parts])
             yield pa.RecordBatch.from_arrays(
