@@ -108,7 +108,7 @@ def test_decontaminated_drops_or_cuts(spark, table):
 
 def test_sql_agrees_on_odd_rows(spark, table, odd):
     docs, items = made(3)
-    docs = [d for d in docs + odd if d[0] is not None and d != (4, "one two")] + [(4, "one two")]
+    docs = [d for d in docs + odd if d[0] is not None and d != (4, "one two") and len(d[1] or "") < 1000] + [(4, "one two")]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
