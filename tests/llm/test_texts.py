@@ -179,6 +179,30 @@ def test_scores_equal_brute_force(table, odd, head, monkeypatch):
     assert lm.scores(table([])).count() == 0
 
 
+@pytest.mark.parametrize("head", [3, 1 << 20])
+def test_score_is_that_of_all_pairs(table, odd, head, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "SHARE", 300)
+    rng = random.Random(5)
+    rows = odd + [(i, " ".join(f"v{rng.randrange(6000)} of{i % 7}" for _ in range(90))) for i in range(10, 90)]
+    rows += [(i, "seldom names met twice seldom names") for i in range(90, 96)]
+    tokens = [(i, ["\n", *SPACE.findall((t or "").translate(FOLD)), "\n"]) for i, t in rows]
+    train = [t for i, t in tokens if not held(i, 7)]
+    words = collections.Counter(w for t in train for w in t[1:])
+    pairs = collections.Counter(p for t in train for p in zip(t, t[1:]))
+    kinds = collections.Counter(a for a, _ in pairs)
+    once, twice = (sum(n == k for n in pairs.values()) for k in (1, 2))
+    d, below = min(max(once / (once + 2 * twice), 0.1), 0.9), sum(words.values()) + len(words) + 1
+    assert len(words) > lm.VOCAB
+
+    def logp(a, b):
+        share = (words[b] + 1) / below
+        return math.log10(max(pairs[a, b] - d, 0) / words[a] + d * kinds[a] / words[a] * share if words[a] else share)
+
+    want = sorted((str(i), round(sum(logp(*p) for p in zip(t, t[1:])), 5)) for i, t in tokens)
+    assert sorted((str(r.doc_id), round(r.score, 5)) for r in lm.scores(table(rows)).collect()) == want
+
+
 def test_trie_is_a_distribution(table):
     pairs = {(0, 1): 5, (0, 2): 1, (1, 0): 3, (1, lm.VOCAB): 2, (70, 70): 1}
     unigram = np.full(lm.VOCAB + 1, 1 / (lm.VOCAB + 1))
