@@ -56,7 +56,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 SHAPES = 1 << 11
-LONGEST = 48  # words of a chain in the training sample
 
 
 def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -130,14 +129,29 @@ class Crf:
         return out
 
 
-def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.2, ridge: float = 1e-3) -> Crf:
+def pieces(first: np.ndarray, last: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chains of more than ``longest`` words as pieces of that many; each begins in the middle of the one before."""
+    step = max(longest // 2, 1)
+    many = 1 + np.maximum(-(-(last - first - longest) // step), 0)
+    of = np.repeat(np.arange(len(first)), many)
+    start = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * step
+    return start, np.minimum(start + longest, last[of])
+
+
+def _sums(shape: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``values`` by shape."""
+    return np.stack([np.bincount(shape, v, SHAPES) for v in values.T], 1)
+
+
+def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.2, ridge: float = 1e-3) -> Crf:
     """Maximum likelihood by full-batch Adam; ``chains`` are (shapes, labels) of a bounded sample."""
     n_labels = len(LABELS)
     emit, move = np.zeros((3, SHAPES, n_labels)), np.zeros((n_labels, n_labels))
     if not chains:
         emit[0][:, 0] = 1.0
         return Crf(emit, move)
-    longest = max(len(s) for s, _ in chains)
+    chains = sorted(chains, key=lambda c: -len(c[0]))
+    longest = len(chains[0][0])
     shape = np.full((len(chains), longest + 2), SHAPES - 1)
     label, live = np.zeros((len(chains), longest), int), np.zeros((len(chains), longest), bool)
     for i, (s, y) in enumerate(chains):
@@ -146,7 +160,8 @@ def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: f
     gold_e, gold_m = np.zeros_like(emit), np.zeros_like(move)
     for k, v in enumerate(views):
         np.add.at(gold_e[k], (v[live], label[live]), 1)
-    pair = live[:, 1:]
+    pair, many = live[:, 1:], live.sum(0).tolist()  # the first so many chains have the word of a step
+    words = [v[live] for v in views]
     np.add.at(gold_m, (label[:, :-1][pair], label[:, 1:][pair]), 1)
     moments = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
     for t in range(1, rounds + 1):
@@ -156,19 +171,19 @@ def train(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: f
         fwd, bwd = np.zeros_like(u), np.ones_like(u)
         fwd[:, 0] = u[:, 0] / u[:, 0].sum(1, keepdims=True)
         for s in range(1, longest):
-            x = (fwd[:, s - 1] @ trans) * u[:, s]
-            fwd[:, s] = x / x.sum(1, keepdims=True)
+            m = many[s]
+            x = (fwd[:m, s - 1] @ trans) * u[:m, s]
+            fwd[:m, s] = x / x.sum(1, keepdims=True)
         for s in range(longest - 2, -1, -1):
-            x = (u[:, s + 1] * bwd[:, s + 1]) @ trans.T
-            bwd[:, s] = np.where(live[:, s + 1, None], x / x.sum(1, keepdims=True), 1.0)
-        post = fwd * bwd
-        post /= post.sum(2, keepdims=True)
-        joint = fwd[:, :-1, :, None] * trans * (u[:, 1:] * bwd[:, 1:])[:, :, None, :]
-        joint /= joint.sum((2, 3), keepdims=True)
-        grad_e = np.zeros_like(emit)
-        for k, v in enumerate(views):
-            np.add.at(grad_e[k], v[live], post[live])
-        grad_m = joint[pair].sum(0)
+            m = many[s + 1]
+            x = (u[:m, s + 1] * bwd[:m, s + 1]) @ trans.T
+            bwd[:m, s] = x / x.sum(1, keepdims=True)
+        post = (fwd * bwd)[live]
+        post /= post.sum(1, keepdims=True)
+        left, right = fwd[:, :-1][pair], (u[:, 1:] * bwd[:, 1:])[pair]
+        scale = ((left @ trans) * right).sum(1, keepdims=True)
+        grad_e = np.stack([_sums(v, post) for v in words])
+        grad_m = trans * ((left / scale).T @ right)
         for x, g, m1, m2 in ((emit, gold_e - grad_e, *moments[:2]), (move, gold_m - grad_m, *moments[2:])):
             g = g / len(chains) - ridge * x
             m1 += 0.1 * (g - m1)
@@ -183,8 +198,8 @@ def _maybe(texts: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(hit, False))
 
 
-def _labelled(texts, every: int):
-    """Chains for training: those that hold a base match, those with four digits in a word or an @ (the hard
+def _labelled(texts, every: int, longest: int):
+    """Chains (``pieces`` of long ones) for training: those that hold a base match, those with four digits in a word or an @ (the hard
     ones without), and one in ``every`` of the rest, by hash."""
     rows: tuple[list, ...] = ([], [], [], [])
     maybe = _maybe(texts)
@@ -203,10 +218,12 @@ def _labelled(texts, every: int):
                 a, b = np.searchsorted(ends, s, "right"), np.searchsorted(begs, e, "left")
                 label[lo + a:lo + b] = kind + 1
         last = np.append(first[1:], len(shape))
-        marked = np.add.reduceat(label > 0, first) > 0
-        near = np.add.reduceat((shape // 256 >= 3) | (shape // 4 % 16 & 2 > 0), first) > 0
+        first, last = pieces(first, last, longest)
+        has = lambda mask: (c := np.concatenate([[0], np.cumsum(mask)]))[last] > c[first]  # noqa: E731, B023
+        marked = has(label > 0)
+        near = has((shape // 256 >= 3) | (shape // 4 % 16 & 2 > 0))
         codes = flat.span_hashes(block.data, w.start[first], w.end[last - 1])
-        keep = (marked | near | (codes % np.uint64(every) == 0)) & (last - first <= LONGEST)
+        keep = marked | near | (codes % np.uint64(every) == 0)
         for i in np.flatnonzero(keep).tolist():
             a, b = first[i], last[i]
             rows[0].append(2 if marked[i] else 1 if near[i] else 0)
@@ -216,11 +233,12 @@ def _labelled(texts, every: int):
     return [pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
 
 
-def labelled_chains(docs: DataFrame, size: int = 500, every: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The labelled table: at most ``size`` distinct chains of each kind (see ``_labelled``) and ``LONGEST`` words at most, of least hash."""
+def labelled_chains(docs: DataFrame, size: int = 1500, every: int = 512, longest: int = 48) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The labelled table: at most ``size`` distinct chains of each kind (see ``_labelled``) of least hash; a chain of more than
+    ``longest`` words counts as overlapping pieces of that many."""
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(_labelled(batch.column("text"), every), ["kind", "code", "s", "y"])
+            yield pa.RecordBatch.from_arrays(_labelled(batch.column("text"), every, longest), ["kind", "code", "s", "y"])
 
     ship_package(docs.sparkSession)
     rows = docs.select("text").mapInArrow(run, "kind int, code long, s binary, y binary")
@@ -249,7 +267,7 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def personal_data(docs: DataFrame, size: int = 500) -> DataFrame:
+def personal_data(docs: DataFrame, size: int = 1500, longest: int = 48, rounds: int = 150) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base_spans.
 
     The CRF is trained on ``labelled_chains`` and decodes every word of every text; words that it labels
@@ -258,7 +276,7 @@ def personal_data(docs: DataFrame, size: int = 500) -> DataFrame:
     Null and empty texts have no spans (the digest of the empty text); repeated rows get a row each; other
     columns are not read; without base matches anywhere nothing is added; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_chains(docs, size)))
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled_chains(docs, size, longest=longest), rounds))
 
     def scan(texts, ids):
         crf, maybe = model.value, _maybe(texts)

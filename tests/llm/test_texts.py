@@ -313,6 +313,16 @@ def test_crf_learns_shapes_beyond_the_patterns():
     assert crf.decode(np.array([0, 0, 900, 512]), np.array([0])).tolist() == [0, 0, 4, 0]
 
 
+def test_long_chains_are_learnt_in_pieces(table):
+    plain = [f"word{'abcdefgh'[k % 8]}" for k in range(400)]
+    rows = [(i, " ".join(plain[:i] + [f"me{i}@you.net"] + plain[i:])) for i in range(0, 401, 40)]
+    chains = pii.labelled_chains(table(rows), longest=20)
+    assert max(len(s) for s, _ in chains) == 20
+    assert sum((y == 1).any() for _, y in chains) >= 2 * len(rows) - 2
+    first, last = pii.pieces(np.array([0, 5, 26]), np.array([5, 26, 126]), 20)
+    assert list(zip(first.tolist(), last.tolist())) == [(0, 5), (5, 25), (15, 26)] + [(26 + k, 46 + k) for k in range(0, 90, 10)]
+
+
 # ---- secrets -------------------------------------------------------------
 
 def test_secrets_equal_brute_force(table, odd):
