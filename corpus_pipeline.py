@@ -40,7 +40,7 @@ def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", good), ("exact", distinct), ("near", unlike), ("decontaminate", clean), ("pack", packs)]
-ORACLE_SQL = None  # a trained classifier and near duplicates are beyond SQL; tests hold each stage against brute force
+ORACLE_SQL = None  # a trained classifier and near duplicates are beyond SQL; tests hold each stage against its operator
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
