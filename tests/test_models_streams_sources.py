@@ -6,8 +6,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
-from conftest import SF
-from helpers import by_day, day, feature_rows
+from helpers import SF, by_day, day, feature_rows
 from pyspark.sql import functions as F
 from test_baseline import wobble
 
