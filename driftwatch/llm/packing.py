@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 
@@ -26,7 +27,7 @@ class Encoder:
     are kept by hash, ``keep`` of them at most; beyond, the store starts anew.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,7 +58,7 @@ class Encoder:
     def encode(self, block: flat.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block's documents, each with its final ``END``, and the number of each document."""
         start, end, doc = self._words(block)
-        code = flat.span_hashes(block.data, start, end)
+        code = flat.word_hashes(block.data, start, end)
         unique, first, inverse = np.unique(code, return_index=True, return_inverse=True)
         if len(self.codes) > self.keep:
             self._clear()
@@ -112,41 +113,71 @@ class Shelf:
         return self._take((self.held & -self.held).bit_length() - 1) if self.held else None
 
 
-def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS, least_cut: int = 16) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length) for documents of these lengths.
+class Packer:
+    """Sequences of pieces for several context sizes, from documents that come a few at a time.
+
+    Whole windows of the largest size leave at once. What is left of a document is routed to the shelf of the
+    smallest tier that holds it, and each tier is packed into windows of its own size: its longest piece opens a
+    window, and the gap takes the longest piece that fits, of its own or a shorter tier; where none fits, the
+    shortest piece left is cut (in the largest tier only if the gap is ``least_cut`` or more). Windows of the
+    shorter tiers are exactly full and, being powers of two, need no padding.
 
-    Whole windows of the largest size come first. What is left of each document goes to the shelf of the
-    smallest tier that holds it. Tiers are packed from the largest: its piece opens a window and the gap
-    takes the longest piece that fits, of its own or a shorter tier; where none fits, the shortest piece left is
-    cut (if the gap is at least ``least_cut``). The last window is cut into powers of two, which need no padding.
+    ``open_windows``: how many windows' worth of tokens stay on the shelves for later documents to be packed with.
+    Only those documents are held; ``take(last=True)`` packs the rest and cuts the last window into powers of two.
     """
-    window, out = tiers[0], []
-    shelves = [Shelf() for _ in tiers]
-    route = lambda n: max(i for i, t in enumerate(tiers) if n <= t)
-    for doc, total in enumerate(lengths):
+
+    def __init__(self, tiers: tuple[int, ...] = TIERS, least_cut: int = 16, open_windows: int = 64):
+        if any(t & (t - 1) for t in tiers[1:]):
+            raise ValueError("the shorter tiers must be powers of two")
+        self.tiers, self.least_cut, self.open = tiers, least_cut, open_windows * tiers[0]
+        self.shelves, self.held, self.out = [Shelf() for _ in tiers], 0, []
+
+    def _route(self, n: int) -> int:
+        return max(i for i, t in enumerate(self.tiers) if n <= t)
+
+    def put(self, doc: int, total: int) -> None:
+        window = self.tiers[0]
         whole = total - total % window
-        out.extend([(doc, s, window)] for s in range(0, whole, window))
+        self.out.extend([(doc, s, window)] for s in range(0, whole, window))
         if total > whole:
-            shelves[route(total - whole)].put((doc, whole, total - whole))
-    for tier, shelf in enumerate(shelves):
-        while (piece := shelf.longest(window)) is not None:
-            row, gap = [piece], window - piece[2]
-            while gap:
-                piece = next((p for s in shelves[tier:] if (p := s.longest(gap)) is not None), None)
-                if piece is None:
-                    if gap < least_cut:
-                        break
-                    source = next((s for s in reversed(shelves) if s.held), None)
-                    if source is None:
-                        break
-                    doc, start, n = source.shortest()
-                    piece = (doc, start, gap)
-                    rest = (doc, start + gap, n - gap)
-                    shelves[max(tier, route(rest[2]))].put(rest)
-                row.append(piece)
-                gap -= piece[2]
-            out.extend([row] if window - gap > window - least_cut or not gap else _powers(row))
-    return out
+            self.held += total - whole
+            self.shelves[self._route(total - whole)].put((doc, whole, total - whole))
+
+    def take(self, last: bool = False) -> list[list[tuple[int, int, int]]]:
+        """Sequences of (document, start, length) that are ready."""
+        for tier, shelf in enumerate(self.shelves):
+            while (last or self.held > self.open) and (piece := shelf.longest(self.tiers[tier])) is not None:
+                row = self._filled(tier, piece)
+                size = sum(n for *_, n in row)
+                self.held -= size
+                full = size == self.tiers[tier] or not tier and size > self.tiers[0] - self.least_cut
+                self.out.extend([row] if full else _powers(row))
+        out, self.out = self.out, []
+        return out
+
+    def _filled(self, tier: int, piece: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+        row, gap = [piece], self.tiers[tier] - piece[2]
+        while gap:
+            piece = next((p for s in self.shelves[tier:] if (p := s.longest(gap)) is not None), None)
+            if piece is None:
+                source = next((s for s in reversed(self.shelves) if s.held), None)
+                if source is None or not tier and gap < self.least_cut:
+                    break
+                doc, start, n = source.shortest()
+                piece = (doc, start, gap)
+                rest = (doc, start + gap, n - gap)
+                self.shelves[max(tier, self._route(rest[2]))].put(rest)
+            row.append(piece)
+            gap -= piece[2]
+        return row
+
+
+def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS, least_cut: int = 16) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, length) for documents of these lengths, all packed together."""
+    packer = Packer(tiers, least_cut)
+    for doc, total in enumerate(lengths):
+        packer.put(doc, total)
+    return packer.take(last=True)
 
 
 def _powers(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -175,53 +206,74 @@ def step_groups(sequences: list[list[tuple[int, int, int]]], size: int) -> np.nd
     return out
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that the store of encoded words outlives a task."""
+    return Encoder(path)
+
+
 def packed(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, step: int = 64,
            with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length,
     step_group, and with ``with_ids`` the token ids.
 
-    A document's ids, with a final id 1, are cut into pieces that ``pack`` lays into sequences. Each Arrow batch
-    is packed by itself where it is read: nothing is shuffled, and memory is that of one batch. A sequence is
-    full to within 15 ids, or its length is a power of two.
+    A document's ids, with a final id 1, are cut into pieces that a ``Packer`` lays into sequences of the sizes in
+    ``tiers``, one per task: nothing is shuffled. Texts are read in blocks of 1 MB; what is held beside one block are
+    the ids of documents on the shelves (64 windows) and of sequences waiting for their step group (fewer than
+    ``step``). A sequence is full to within 15 ids, or its length is a power of two. A step group has ``step``
+    sequences of one task with like attention cost dealt over its neighbours; a task's last may have fewer.
 
     Null and empty texts have the final id only. Repeated rows are packed each for itself. Further columns are
     not read; an empty table gives no rows.
     """
     ship_package(docs.sparkSession)
+    ready = 8 * step
 
     def run(batches):
-        encoder, task, serial, group = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            parts, counts = [], []
-            for block in flat.blocks(batch.column("text")):
-                ids, n = encoder.encode(block)
-                parts.append(ids)
-                counts.append(n)
-            if not parts:
-                continue
-            ids, counts = np.concatenate(parts), np.concatenate(counts)
-            begins = np.cumsum(counts) - counts
-            rows = pack(counts.tolist(), tiers)
+        encode, task, serial, group, number = encoder(tokenizer_path).encode, TaskContext.get().partitionId(), 0, 0, 0
+        packer, texts, waiting = Packer(tiers), {}, []
+
+        def give(rows):
+            nonlocal serial, group
             groups = step_groups(rows, step)
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             data = []
             for s, row in enumerate(rows):
                 offset, size = 0, sum(n for *_, n in row)
                 for doc, start, n in row:
-                    own = ids[begins[doc] + start:begins[doc] + start + n]
-                    for c, v in zip(cols, (doc, start, n, zlib.crc32(own.astype("<u4").tobytes()), (task << 32) + serial + s,
-                                           offset, size, (task << 32) + group + int(groups[s])), strict=True):
+                    entry = texts[doc]
+                    own = entry[1][start:start + n]
+                    for c, v in zip(cols, (entry[0], start, n, zlib.crc32(own.astype("<u4").tobytes()), len(entry[1]),
+                                           (task << 32) + serial + s, offset, size, (task << 32) + group + int(groups[s])),
+                                    strict=True):
                         c.append(v)
                     data.append(own)
                     offset += n
+                    entry[2] -= n
+                    if not entry[2]:
+                        del texts[doc]
             serial, group = serial + len(rows), group + int(groups.max(initial=-1)) + 1
-            doc, start, length, crc, sequence, offset, size, step_group = (pa.array(c, pa.int64()) for c in cols)
-            out = [batch.column("doc_id").take(doc), start, length, crc, pa.array(counts).take(doc), sequence, offset,
-                   size, step_group]
+            out = [pa.array(c, pa.int64()) for c in cols]
             if with_ids:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(ends, np.concatenate(data).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(out, names)
+            return pa.RecordBatch.from_arrays(out, names)
+
+        for batch in batches:
+            ids_of = batch.column("doc_id").to_pylist()
+            for block in flat.blocks(batch.column("text")):
+                ids, counts = encode(block)
+                for i, own in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+                    texts[number] = [ids_of[block.first + i], own.copy(), len(own)]
+                    packer.put(number, len(own))
+                    number += 1
+                waiting += packer.take()
+                if (whole := len(waiting) // ready * ready):
+                    yield give(waiting[:whole])
+                    waiting = waiting[whole:]
+        waiting += packer.take(last=True)
+        if waiting:
+            yield give(waiting)
 
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
               "sequence_length long, step_group long") + ", ids array<int>" * with_ids

@@ -49,6 +49,36 @@ def test_words_and_hashes(size):
         assert len(set(codes.values())) == len(codes)
 
 
+def thue_morse(letters, flip):
+    """A word and its complement that a polynomial hash modulo 2^64 cannot tell apart, whatever its base."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(letters))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_word_hashes_tell_long_words_apart(table, letters):
+    one, other = (thue_morse(letters, flip) for flip in (0, 1))
+    block = next(flat.blocks(pa.array([f"x {one} {other} {one} {one}a"])))
+    w = flat.words(block)
+    h = flat.word_hashes(block.data, w.start, w.end)
+    assert len(set(h.tolist())) == 4 and h[1] == h[3]
+    rows = {r.doc_id: r for r in minhash.near_groups(table([(1, one), (2, other), (3, one)])).collect()}
+    assert [rows[i].component_id for i in (1, 2, 3)] == [1, 2, 1]
+    encoder, ids = packing.Encoder(vocabulary()), []
+    for text in (one, other):
+        ids.append(encoder.encode(next(flat.blocks(pa.array([text]))))[0].tolist())
+    assert ids == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in (one, other)]
+    known = {r.doc_id: r.n_known for r in lm.scores(table([(1, one), (2, other)])).collect()}
+    trained = [t for i, t in ((1, one), (2, other)) if not held(i, 7)]
+    assert known == {i: 1 + (t in trained) for i, t in ((1, one), (2, other))}
+
+
+def test_word_hashes_depend_on_bytes_and_length_only():
+    data = np.frombuffer(b"abcdefgh abcdefg abcdefgh\x00 abcdefghi  abcdefgh", np.uint8)
+    start, end = np.array([0, 9, 17, 27, 37, 38, 39]), np.array([8, 16, 26, 36, 37, 46, 39])
+    h = flat.word_hashes(data, start, end).tolist()
+    assert h[0] == h[5] and h[4] == h[6] and len(set(h)) == 5
+
+
 def test_ngrams_stay_inside_documents():
     rng = np.random.default_rng(0)
     counts = np.array([0, 3, 7, 0, 1, 5, 0])
@@ -246,10 +276,30 @@ def test_pack_covers_every_id_once_with_little_padding(seed):
         parts = sorted(cover[d])
         assert parts[0][0] == 0 and parts[-1][1] == n and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
     assert padding <= 0.01 * sum(lengths)
+    if seed == 3:
+        assert {2048, 1024} <= {sum(n for *_, n in row) for row in rows}
     sizes = np.bincount(packing.step_groups(rows, 16), minlength=0)
     assert not rows or sizes.max() - sizes.min() <= 1
 
 
+def test_packer_keeps_documents_for_later_ones():
+    rng = np.random.default_rng(5)
+    packer, lengths, rows = packing.Packer(open_windows=4), rng.integers(1, 2500, 400).tolist(), []
+    for k in range(0, 400, 20):
+        for doc in range(k, k + 20):
+            packer.put(doc, lengths[doc])
+        rows += packer.take()
+        assert packer.held <= 4 * 2048
+    early = len(rows)
+    rows += packer.take(last=True)
+    cover = collections.Counter()
+    for row in rows:
+        cover.update({d: n for d, _, n in row} if len({d for d, *_ in row}) == len(row) else
+                     {d: sum(n for e, _, n in row if e == d) for d, *_ in row})
+    assert cover == {d: n for d, n in enumerate(lengths)} and early > 100 and packer.held == 0
+    assert all(sum(n for *_, n in row) in (2048, 1024, 512, 256) or sum(n for *_, n in row) > 2032 for row in rows[:early])
+
+
 def test_packed_rows(table, odd):
     from tokenizers import Tokenizer
 
