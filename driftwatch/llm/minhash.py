@@ -24,7 +24,7 @@ _U = np.uint64
 def shingle_sets(block: flat.Block) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every document, one after the other, and how many each has."""
     w = flat.words(block)
-    grams, doc = flat.ngrams(flat.span_hashes(block.data, w.start, w.end), w.counts, WORDS)
+    grams, doc = flat.ngrams(flat.word_hashes(block.data, w.start, w.end), w.counts, WORDS)
     return flat.distinct(doc, grams, len(block))
 
 
@@ -82,21 +82,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, row, n_shingles, set_a, set_b (a digest of the set), sig."""
     def run(batches):
         for batch in batches:
-            parts: list[list] = [[] for _ in range(4)]
             for block in flat.blocks(batch.column("text")):
                 values, counts = shingle_sets(block)
                 sums = np.concatenate([np.zeros((1, 2), _U), np.cumsum(np.stack([flat.mix(values + _U(1)), flat.mix(values ^ _U(77))], 1), 0)])
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                parts[0].append(counts)
-                parts[1].append(sums[edges[1:]] - sums[edges[:-1]])
-                parts[2].append(registers(values, counts))
-            if not parts[0]:
-                continue
-            counts, digest, sig = (np.concatenate(p) for p in parts[:3])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(counts.astype(np.int64)),
-                 *(pa.array(digest[:, i].copy().view(np.int64)) for i in (0, 1)),
-                 pa.array([x.tobytes() for x in sig], pa.binary())], names)
+                digest = sums[edges[1:]] - sums[edges[:-1]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(block.first, len(block)) for c in ("doc_id", "text_key")),
+                     pa.array(counts.astype(np.int64)), *(pa.array(digest[:, i].copy().view(np.int64)) for i in (0, 1)),
+                     pa.array([x.tobytes() for x in registers(values, counts)], pa.binary())], names)
 
     schema = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sig binary"
     names = [p.split()[0] for p in schema.split(", ")]
@@ -119,48 +113,31 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         f"100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").mapInArrow(run, "a long, b long")
 
 
-def _slices(batches, rows: int = 256):
-    """Batches in parts of few rows: a row with a whole set in it, or what is made of it, is large."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, rows):
-            yield batch.slice(first, rows)
-
-
 def _sets(rows: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(row, items): sorted shingle hashes of the asked ``rows``, made again from their texts."""
+    """(row, items): shingle hashes of the asked ``rows``, made again from their texts; a written table."""
     def run(batches):
         for batch in batches:
-            out = []
             for block in flat.blocks(batch.column("text")):
                 values, counts = shingle_sets(block)
-                out += [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])]
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "items"])
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").slice(block.first, len(block)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], ["row", "items"])
 
     asked = stored(reps.join(rows.select("row").distinct(), "row").select(
         "row", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "asked")
     texts = docs.select("doc_id", "text").join(
         bounded(asked, broadcast_rows),
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
-    return stored(texts.select("row", "text").mapInArrow(run, "row long, items binary"), "sets").dropDuplicates(["row"])
+    return stored(texts.select("row", "text").mapInArrow(run, "row long, items array<long>").dropDuplicates(["row"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets share enough."""
-    def check(batches):
-        for batch in _slices(batches):
-            keep, last, mine = [], None, None
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                if a != last:
-                    last, mine = a, np.frombuffer(x.as_buffer(), _U)
-                other = np.frombuffer(y.as_buffer(), _U)
-                both = len(mine) + len(other) - len(np.union1d(mine, other))
-                keep.append(100 * both >= SHARE * (len(mine) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    return (pairs.join(sets.select(F.col("row").alias("b"), F.col("items").alias("y")), "b")
-            .join(sets.select(F.col("row").alias("a"), F.col("items").alias("x")), "a")
-            .select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    """Pairs (a, b) whose full sets share enough. Both joins read written tables, so that a set with very many
+    partners is a skewed join that can be split."""
+    joined = (pairs.join(sets.select(F.col("row").alias("b"), F.col("items").alias("y")), "b")
+              .join(sets.select(F.col("row").alias("a"), F.col("items").alias("x")), "a"))
+    return joined.filter(f"{100 + SHARE} * size(array_intersect(x, y)) >= {SHARE} * (size(x) + size(y))").select("a", "b")
 
 
 def _sharing_rare(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,30 +147,24 @@ def _sharing_rare(sets: DataFrame, labels: DataFrame) -> DataFrame:
     many sets have them, so that a passage of many documents comes last. Two linked sets share at least
     SHARE / (100 + SHARE) of both sizes together; so their first common shingle has at least as many places left
     in either set. Only pairs with such a common shingle are formed: those that differ in enough places of their own,
-    or share frequent passages only, are never brought together.
+    or share frequent passages only, are never brought together. Of the sets that hold a shingle, those outside its
+    commonest label meet the others: most holders have one label, and so a shingle of k sets does not form k * k rows.
     """
-    def shingles(batches):
-        for batch in _slices(batches):
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")]
-            size = np.array([len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column("row").to_numpy(), size)), pa.array(np.repeat(size, size)),
-                 pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], ["row", "n", "item"])
-
-    spread = sets.mapInArrow(shingles, "row long, n long, item long")
+    spread = sets.select("row", F.size("items").alias("n"), F.explode("items").alias("item"))
     shared = spread.groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     place = Window.partitionBy("row").orderBy("c", "item")
     placed = (spread.join(shared, "item").withColumn("place", F.row_number().over(place))
               .withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("row")))
               .withColumn("left", F.col("m") - F.col("place") + 1).filter(f"100 * left >= {SHARE} * n"))
     firsts = stored(placed.select("row", "n", "item", "left").join(labels, "row"), "rarest")
-    mixed = firsts.groupBy("item").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("item")
-    firsts = firsts.join(mixed, "item")
-    side = lambda x: firsts.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "label", "n", "left")])
-    return side("a").join(side("b"), "item").where(
-        f"row_a < row_b AND label_a <> label_b AND 100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b) AND "
+    held = firsts.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c"))
+    most = held.groupBy("item").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+    firsts = firsts.join(most.filter("labels > 1").select("item", "most"), "item").withColumn("other", F.expr("label <> most"))
+    side = lambda x: firsts.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "label", "n", "left", "other")])
+    return side("a").filter("other_a").join(side("b"), "item").where(
+        f"label_a <> label_b AND (row_a < row_b OR NOT other_b) AND 100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b) AND "
         f"{100 + SHARE} * least(left_a, left_b) >= {SHARE} * (n_a + n_b)").select(
-        F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
+        F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
