@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwatch.llm import credentials, decontaminate, exact, language, licenses, lm, minhash, packing, pii, quality
+from driftwatch.llm import credentials, decontaminate, exact, filters, language, licenses, lm, minhash, packing, pii, quality
 from driftwatch.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -75,3 +75,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(documents(spark, sf_dir))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
