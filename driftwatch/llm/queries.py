@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftwatch.llm import credentials, decontaminate, exact, filters, language, licenses, lm, minhash, packing, pii, quality
+from driftwatch.llm import credentials, decontaminate, exact, filters, language, licenses, lm, minhash, packing, pii, quality, whitening
 from driftwatch.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -80,3 +81,9 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
