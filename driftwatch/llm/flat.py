@@ -6,8 +6,10 @@ word n-grams come out as flat arrays in document order.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,6 +196,20 @@ def distinct(doc: np.ndarray, values: np.ndarray, docs: int) -> tuple[np.ndarray
     return values[new], np.bincount(doc[new], minlength=docs)
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over Arrow batches, with free memory handed back to the system when a task ends.
+
+    Worker processes live on from task to task and would otherwise hold the most that any task has needed.
+    """
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):      # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def per_document(docs: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(texts, doc_ids) -> columns`` over Arrow batches of doc_id and text; ``schema`` names the columns.
 

@@ -27,11 +27,11 @@ class Encoder:
     are kept by hash, ``keep`` of them at most; beyond, the store starts anew.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.tokenizer, self.keep, self.end = Tokenizer.from_file(path), keep, end
         self._clear()
 
     def _clear(self) -> None:
@@ -56,7 +56,7 @@ class Encoder:
         return tuple(np.concatenate(p)[order] for p in ((start, tails), (end, tails + 1), (doc, doc[cut])))
 
     def encode(self, block: flat.Block) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the block's documents, each with its final ``END``, and the number of each document."""
+        """All ids of the block's documents, each with its final id, and the number of each document."""
         start, end, doc = self._words(block)
         code = flat.word_hashes(block.data, start, end)
         unique, first, inverse = np.unique(code, return_index=True, return_inverse=True)
@@ -80,7 +80,7 @@ class Encoder:
         length = self.length[slot]
         places = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - self.where[slot], length)
         counts = np.bincount(doc, length, len(block)).astype(np.int64) + 1
-        out = np.full(counts.sum(), END, np.uint32)
+        out = np.full(counts.sum(), self.end, np.uint32)
         body = np.ones(len(out), bool)
         body[np.cumsum(counts) - 1] = False
         out[body] = self.store[places]
@@ -278,4 +278,4 @@ def packed(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS,
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
               "sequence_length long, step_group long") + ", ids array<int>" * with_ids
     names = [part.split()[0] for part in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(flat.trimmed(run), schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import credentials, decontaminate, exact, filters, language, licenses, lm, minhash, packing, pii, quality, whitening
+from driftwatch.llm import bestfit, credentials, decontaminate, exact, filters, language, licenses, lm, minhash, packing, pii, quality, whitening
 from driftwatch.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -41,11 +41,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir)).drop("base_spans")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     """Place of the tokenizer's file on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @query
@@ -87,3 +87,8 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op11_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
