@@ -699,7 +699,7 @@ SELECT elder_id, count(*) AS n_scores, {r('CASE WHEN count(*) < 3 THEN max(anoma
 FROM cold GROUP BY 1""")
 _some, _rows = "names <> ''", ", ".join(r(c) for c in ("anomaly_score", "static_threshold", "ewma_threshold", "dynamic_threshold"))
 for _q, _p in (("daily_results", "std"), ("daily_results_stored", "std"), ("daily_results_two_versions", "std"),
-               ("daily_results_sensitive", "low")):
+               ("daily_results_sensitive", "low"), ("daily_results_by_steps", "std")):
     oracle(_q, f"""
 SELECT {KD}, data_quality, CAST(missing_count AS BIGINT) AS missing_count, status, {_rows}, is_deviation, in_observation_period,
   {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ('ewma_n', 'judged_streak', 'consecutive_deviation_days', 'reported_streak', 'risk_level'))},
@@ -814,3 +814,10 @@ SELECT elder_id, CAST(s.date AS VARCHAR) AS date, {r('x', 'anomaly_score')}, n_b
   {r('t', 'dynamic_threshold')}, x > t AS is_deviation, i AS ewma_n, {r('ewma_mean')}, {r('ewma_var')}
 FROM (SELECT *, CASE WHEN n_before >= 20 THEN least(1.5, mean_before + 2.5::DOUBLE * {_std('var_before', 'n_before')}) ELSE 1.5 END AS t
       FROM cold_seq_ewma) e JOIN (SELECT elder_id, i, date FROM cold_seq) s USING (elder_id, i)""")
+# Version 3 before 2 (the larger wins), 5 states its day completely, 6 withdraws, 4 comes last but is older than 5 and 6.
+oracle("upserted_days", f"""
+SELECT {KD}, {r("CASE WHEN date = DATE '2024-01-09' THEN sad_ratio WHEN elder_id % 4 = 1 OR elder_id % 7 = 0 THEN 4.0 WHEN elder_id % 2 = 0 THEN 2.0 "
+                "WHEN elder_id % 3 = 0 THEN 3.0 ELSE sad_ratio END", "sad_ratio")},
+  {r("CASE WHEN date = DATE '2024-01-09' THEN -1.0 ELSE sfi END", "sfi")}
+FROM daily WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-15' AND NOT (date = DATE '2024-01-09' AND elder_id % 5 = 0)
+  AND NOT (date >= DATE '2024-01-12' AND elder_id % 7 = 0)""")

@@ -6,6 +6,7 @@ different orders give equal values.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,10 @@ from driftwatch.functions.text import add, array, each
 from driftwatch.operators import (acoustic, activity, alerts, assemble, baseline, dialogue, ewma, health, metrics,
                                   quality, report, risk, scoring, sleep, social)
 from driftwatch.operators.asof import as_of_join
-from driftwatch.plans import daily, handoff, weekly
+from driftwatch.plans import daily, handoff, steps, weekly
 from driftwatch.session import ensure_session
 from driftwatch.sources import events as ev
-from driftwatch.sources import tables
+from driftwatch.sources import changes, tables
 from driftwatch.streaming import live, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,6 +381,37 @@ def daily_results_sensitive(spark, d):
     return _result_table(_results(spark, d))
 
 
+@query
+def daily_results_by_steps(spark, d):
+    """The daily job from a state per person: ten days to catch up, then day by day over enrolment and first scores,
+    a gap of nine days, and day by day again. Equal to the whole run."""
+    features = live.work_folder(spark, "features")
+    _daily(spark, d).write.partitionBy(DAY).parquet(features)
+    table = spark.read.parquet(features)
+    first = table.agg(F.min(DAY)).first()[0]
+    last = table.agg(F.max(DAY)).first()[0]
+    days = [first + dt.timedelta(days=n) for n in (9, 10, 11, 12, 13, 14, 15, 24, 25, 26)]
+    out = steps.run_days(table, live.work_folder(spark, "steps"), [x for x in days if x < last] + [last])
+    return _result_table(out)
+
+
+@query
+def upserted_days(spark, d):
+    """Feature days written by several jobs: two that overlap, one that states a day completely, a withdrawal, a
+    compaction, and one that began before it and commits after it."""
+    day, path = _daily(spark, d).select(*KD, "sad_ratio", "sfi"), live.work_folder(spark, "changes")
+    at = lambda n: f"{n:020d}-x"
+    changes.upsert(day, path, version=at(1))
+    changes.upsert(day.filter(f"{KEY} % 2 = 0").withColumn("sad_ratio", F.lit(2.0)), path, version=at(3))
+    changes.upsert(day.filter(f"{KEY} % 3 = 0").withColumn("sad_ratio", F.lit(3.0)), path, version=at(2))
+    changes.upsert(day.filter(f"{DAY} = '2024-01-09' AND {KEY} % 5 <> 0").withColumn("sfi", F.lit(-1.0)), path,
+                   whole=["2024-01-09"], version=at(5))
+    changes.withdraw(day.filter(f"{KEY} % 7 = 0 AND {DAY} >= '2024-01-12'"), path, version=at(6))
+    changes.compact(spark, path)
+    changes.upsert(day.filter(f"{KEY} % 4 = 1 OR {KEY} % 7 = 0").withColumn("sad_ratio", F.lit(4.0)), path, version=at(4))
+    return tidy(changes.current(spark, path, f"{DAY} BETWEEN '2024-01-05' AND '2024-01-15'"))
+
+
 # ---- risk ----------------------------------------------------------------
 
 @query

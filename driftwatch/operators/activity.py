@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.scalars import clamp, ratio, rounded
-from driftwatch.operators.ordered import adjacent_sums
+from driftwatch.operators.ordered import BUCKET, adjacent_sums, bucket_summaries, bucketed
 
 # Scale factors, defaults and bounds.
 SECONDS_PER_POINT = 36.0
@@ -58,16 +58,26 @@ def daily_activity(keys: Sequence[str], reported: DataFrame | None = None, pir:
 
 
 def room_entropy(pir: DataFrame, keys: Sequence[str], order: Sequence[str], digits: bool = True) -> DataFrame:
-    """Shannon entropy of room visits, raised by the share of room changes."""
-    pir = pir.withColumn("room", F.coalesce("room", F.lit("unknown")))
-    visits = pir.groupBy(*keys, "room").agg(F.count(F.lit(1)).alias("c"))
-    shares = visits.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("clogc"))
-    moves = adjacent_sums(pir, keys, order, ["room"],
-                          {"moves": lambda a, b: (a["room"] != b["room"]).cast("long")})
+    """Shannon entropy of room visits, raised by the share of room changes.
+
+    A bucket leaves one row per room, with visits and changes into it; what a day needs comes from those rows.
+    """
+    rows = bucketed(pir.select(*keys, *order, F.coalesce("room", F.lit("unknown")).alias("room")), keys, order)
+    rooms = bucket_summaries(rows, keys, order, ["room"], {"moves": lambda a, b: (a["room"] != b["room"]).cast("long")},
+                             {"visits": F.lit(1)}, per=["room"])
+    ends = rooms.groupBy(*keys, BUCKET).agg(
+        F.sum("_t_moves").alias("moves"), F.min_by("room", "_first_at").alias("first"), F.max_by("room", "_last_at").alias("last"),
+        F.collect_list(F.struct("room", F.col("_s_visits").alias("c"))).alias("seen"))
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy(BUCKET))
+    ends = ends.withColumn("moves", F.coalesce("moves", F.lit(0)) + F.coalesce((before != F.col("first")).cast("long"), F.lit(0)))
+    per_room = ends.select(*keys, "moves", F.posexplode("seen").alias("i", "v"))
+    per_room = per_room.select(*keys, "v.room", "v.c", F.when(F.col("i") == 0, F.col("moves")).alias("moves"))
+    visits = per_room.groupBy(*keys, "room").agg(F.sum("c").alias("c"), F.sum("moves").alias("moves"))
     n = F.col("n")
+    shares = visits.groupBy(*keys).agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("clogc"),
+        F.coalesce(F.sum("moves"), F.lit(0)).alias("moves"))
     entropy = F.greatest(F.log2(n.cast("double")) - ratio(F.col("clogc"), n), F.lit(0.0))
     value = F.when(n >= 2, clamp(entropy * (1 + ratio(F.col("moves"), n)), *ENTROPY_BOUNDS)) \
              .otherwise(ENTROPY_IF_UNKNOWN)
-    return shares.join(moves, list(keys)).select(
-        *keys, n.alias("n_visits"), "moves", rounded(value, 2, digits).alias("space_entropy"))
+    return shares.select(*keys, n.alias("n_visits"), "moves", rounded(value, 2, digits).alias("space_entropy"))

@@ -77,7 +77,7 @@ def own_baseline(windows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """
     own = f" OVER ({BY_PERSON})"
     keep = [c for c in windows.columns if c in (KEY, DAY, *FEATURES, "missing_raw", "missing_count", "data_quality",
-                                                "offline_alarm", "stored", "valid")]
+                                                "offline_alarm", "stored", "valid", "carry")]
     df = add(windows, "sum(int(is_window))" + own + " AS n_windows",
              each("avg(abs(train_{f}))" + own + " AS _rm_{f}"), each("stddev_pop(abs(train_{f}))" + own + " AS _rs_{f}"),
              each("avg(train_{f})" + own + " AS _sm_{f}"), each("stddev_pop(train_{f})" + own + " AS _ss_{f}"),

@@ -36,22 +36,49 @@ def label_quality(days: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     observed values of valid days are donors; a feature without donor becomes 0 and is
     counted in ``missing_count``. ``stored`` marks days that have a usable vector.
     """
-    n = s.offline_days
-    df = add(days.select(KEY, DAY, *FEATURES),
-             f"{plus(each('int({f} IS NULL)'))} AS missing_raw",
+    return labels_from(add(_flagged(days.select(KEY, DAY, *FEATURES), s), *_looking_back(s)), s)
+
+
+def _flagged(days: DataFrame, s: Settings) -> DataFrame:
+    """``missing_raw``, ``_short`` and ``_bad`` of each row by itself."""
+    df = add(days, f"{plus(each('int({f} IS NULL)'))} AS missing_raw",
              f"coalesce(least({', '.join(FEATURES)}) < {num(s.implausible_below)}, false) AS _odd")
-    df = add(df, f"missing_raw >= {s.max_missing} AS _short", f"(missing_raw >= {s.max_missing} OR _odd) AS _bad")
+    return add(df, f"missing_raw >= {s.max_missing} AS _short", f"(missing_raw >= {s.max_missing} OR _odd) AS _bad")
+
+
+def _looking_back(s: Settings) -> list[str]:
+    """Donors from the days before, and bad days among the last ones."""
     run = "sum(int(_bad)) OVER (" + BY_DAY + " ROWS BETWEEN {} PRECEDING AND {})"
-    df = add(df,
-             each("last(CASE WHEN NOT _bad THEN {f} END, true) OVER (" + f"{BY_DAY} {BEFORE}" + ") AS _donor_{f}"),
-             run.format(n, "1 PRECEDING") + " AS _bad_before",
-             run.format(n - 1, "CURRENT ROW") + " AS _bad_tail")
+    return [*each("last(CASE WHEN NOT _bad THEN {f} END, true) OVER (" + f"{BY_DAY} {BEFORE}" + ") AS _donor_{f}"),
+            run.format(s.offline_days, "1 PRECEDING") + " AS _bad_before",
+            run.format(s.offline_days - 1, "CURRENT ROW") + " AS _bad_tail"]
+
+
+def label_continued(rows: DataFrame, s: Settings = DEFAULTS, carried: str = "carry") -> DataFrame:
+    """``label_quality`` for days that follow a stored state.
+
+    ``rows`` holds new days (``carried`` is their person's state, with ``donors``) and days of the person's history,
+    which have their features and flags already (``old_short``, ``old_bad``); the history must reach back
+    over the last ``offline_days`` days without a gap. Both come out with the same labels a whole run gives.
+    """
+    new = f"{carried} IS NOT NULL"
+    df = _flagged(rows, s)
+    df = df.withColumns({"_short": F.expr(f"CASE WHEN {new} THEN _short ELSE old_short END"),
+                         "_bad": F.expr(f"CASE WHEN {new} THEN _bad ELSE old_bad END")})
+    before = [f"last(CASE WHEN {new} AND NOT _bad THEN {f} END, true) OVER ({BY_DAY} {BEFORE})" for f in FEATURES]
+    df = add(df, [f"coalesce({e}, {carried}.donors.{f}) AS _donor_{f}" for e, f in zip(before, FEATURES)], _looking_back(s)[len(FEATURES):])
+    return labels_from(df, s, (carried, *each("CASE WHEN NOT _bad THEN coalesce({f}, _donor_{f}) ELSE _donor_{f} END AS donor_{f}"), "_short", "_bad"))
+
+
+def labels_from(df: DataFrame, s: Settings = DEFAULTS, more: tuple[str, ...] = ()) -> DataFrame:
+    """Imputed features and labels from flags, donors and counts of bad days."""
+    n = s.offline_days
     return df.selectExpr(
         KEY, DAY, *each("coalesce({f}, _donor_{f}, 0D) AS {f}"), "missing_raw",
         plus(each("int({f} IS NULL AND _donor_{f} IS NULL)")) + " AS missing_count",
         f"CASE WHEN _short AND _bad_before = {n} THEN 'offline' WHEN _bad THEN 'insufficient' ELSE 'valid' END"
         " AS data_quality",
-        f"_bad_tail = {n} AS offline_alarm", "NOT _short AS stored", "NOT _bad AS valid")
+        f"_bad_tail = {n} AS offline_alarm", "NOT _short AS stored", "NOT _bad AS valid", *more)
 
 
 def usable(df: DataFrame) -> DataFrame:

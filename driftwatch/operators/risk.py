@@ -76,6 +76,11 @@ def classify(results: DataFrame, s: Settings = DEFAULTS, signed: bool = True,
     Rows without residual statistics meet no rule. The streak counts trailing days that
     exceed and score high enough, up to the last 7 results or as many as the rule asks for.
     """
+    return rule_streaks(rule_values(results, s, signed), s, keys)
+
+
+def rule_values(results: DataFrame, s: Settings = DEFAULTS, signed: bool = True) -> DataFrame:
+    """Per rule what one day alone shows: ``<rule>_score``, ``_features`` and ``_meets``."""
     kind, value = ("signed", "signed") if signed else ("resid", "res")
     at = {f: i for i, f in enumerate(FEATURES)}
     used = sorted({f for r in s.rules for f in r.features}, key=at.get)
@@ -86,13 +91,19 @@ def classify(results: DataFrame, s: Settings = DEFAULTS, signed: bool = True,
              ["array_compact(array(%s)) AS %s_features" % (", ".join(
                  f"CASE WHEN {_exceeds(d, f'_z_{f}', r.threshold_ratio)} THEN '{f}' END"
                  for f, d in zip(r.features, r.directions)), r.key) for r in s.rules])
-    df = add(df, [f"coalesce(size({r.key}_features) >= 1 AND {r.key}_score > {num(SCORE_MIN)}, false) AS {r.key}_meets"
-                  for r in s.rules], f"row_number() OVER ({_order(keys)}) AS _n")
+    return df.selectExpr(*results.columns, *[f"{r.key}_{c}" for r in s.rules for c in ("score", "features")], *[
+        f"coalesce(size({r.key}_features) >= 1 AND {r.key}_score > {num(SCORE_MIN)}, false) AS {r.key}_meets" for r in s.rules])
+
+
+def rule_streaks(days: DataFrame, s: Settings = DEFAULTS, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """Per rule the streak up to each day, activity, and the names of the active types."""
+    df = add(days, f"row_number() OVER ({_order(keys)}) AS _n")
     df = add(df, [f"CAST(least({run_length(f'{r.key}_meets', _order(keys))}, {max(LOOKBACK, r.consecutive_days)}) AS BIGINT) AS {r.key}_days"
                   for r in s.rules])
     df = add(df, [f"{r.key}_meets AND {r.key}_days >= {r.consecutive_days} AS {r.key}_active" for r in s.rules])
     per_rule = [f"{r.key}_{c}" for r in s.rules for c in ("score", "features", "meets", "days", "active")]
-    return df.selectExpr(*results.columns, *per_rule, f"{active_names(s.rules)} AS risk_types")
+    others = [c for c in days.columns if c not in per_rule]
+    return df.selectExpr(*others, *per_rule, f"{active_names(s.rules)} AS risk_types")
 
 
 def active_names(rules: Sequence[RiskRule]) -> str:

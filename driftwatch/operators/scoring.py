@@ -94,14 +94,18 @@ def residuals(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return add(df, weighted("res_{f}", s) + " AS anomaly_score")
 
 
-def decide(scored: DataFrame, s: Settings = DEFAULTS, flag: str = "scored") -> DataFrame:
+AT_TRAINING = ("ewma_mean_at_train", "ewma_var_at_train", "ewma_n_at_train")
+
+
+def decide(scored: DataFrame, s: Settings = DEFAULTS, flag: str = "scored",
+           seed: tuple[str, str, str] = AT_TRAINING) -> DataFrame:
     """Thresholds, deviation flag and status of rows that have a score.
 
     Today is compared with the state before today and then added to it, deviating or not.
-    Rows whose ``flag`` is false pass by without touching the state.
+    Rows whose ``flag`` is false pass by without touching the state, which goes on from ``seed``.
     """
     df = ewma_states(scored, [KEY], [DAY], "anomaly_score", s.ewma_alpha,
-                     seed=("ewma_mean_at_train", "ewma_var_at_train", "ewma_n_at_train"), only=flag)
+                     seed=seed, only=flag)
     std_before = ewma_std("var_before", "n_before")
     df = add(df, f"CASE WHEN n_before >= {s.ewma_min_samples} THEN mean_before + {num(s.sigma)} * {std_before} "
                  "ELSE static_threshold END AS ewma_threshold")

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.scalars import clamp, minutes_of, ratio, rounded
-from driftwatch.operators.ordered import adjacent_sums, salted_join
+from driftwatch.operators.ordered import BUCKET, bucketed, sums_of_buckets
 
 # What is reported without a signal, and the bounds of each feature.
 BED_MINUTES = 480.0
@@ -36,30 +36,53 @@ def waveform_long(nights: DataFrame, keys: Sequence[str], heart: str = "heart_ra
 
 def sleep_features(samples: DataFrame, nights: DataFrame, keys: Sequence[str],
                    order: Sequence[str] = ("seq",), digits: bool = True) -> DataFrame:
-    """Efficiency, deep share, fragmentation and HRV per key."""
+    """Efficiency, deep share, fragmentation and HRV per key.
+
+    Samples are dealt out by (keys, bucket) once. From there each bucket gives its moments, which add up to the night's
+    mean and deviation; these go back to the buckets, where every sample is held against them. Samples without a key
+    are left out.
+    """
+    known = samples.select(*keys, *order, "heart_rate", "movement").dropna(subset=list(keys))
+    rows = bucketed(known, keys, order)
     size = F.abs("movement")
-    stats = samples.groupBy(*keys).agg(
-        F.stddev_pop("movement").alias("m_std"), F.avg(size).alias("m_abs"),
-        F.count("movement").alias("n_m"), F.stddev_pop("heart_rate").alias("h_std"),
-        F.count("heart_rate").alias("n_h"))
+    # Both uses of the dealt rows need the same columns, so that Spark deals them once: the bucket's last position is
+    # there for that, and no sample lies behind it.
+    own = rows.groupBy(*keys, BUCKET).agg(
+        F.avg("movement").alias("_m"), F.var_pop("movement").alias("_mv"), F.sum(size).alias("_ma"), F.count("movement").alias("_mn"),
+        F.avg("heart_rate").alias("_h"), F.var_pop("heart_rate").alias("_hv"), F.count("heart_rate").alias("_hn"),
+        F.max(F.struct(*order)).alias("_end"))
+    night = Window.partitionBy(*keys)
+
+    def moments(mean: str, var: str, n: str) -> Column:
+        total = F.sum(n).over(night)
+        centre = F.sum(F.col(mean) * F.col(n)).over(night) / F.nullif(total, F.lit(0))
+        return F.struct(centre.alias("c"), total.alias("n"), F.col(var).alias("v"), F.col(mean).alias("m"), F.col(n).alias("k"))
 
-    marked = salted_join(samples, stats.select(*keys, "m_std", "m_abs"), keys, order).select(
-        *keys, *order, F.col("heart_rate").alias("hr"),
+    centred = own.withColumns({"_ms": moments("_m", "_mv", "_mn"), "_hs": moments("_h", "_hv", "_hn")})
+    spread = lambda s: F.sqrt(F.sum(F.col(f"{s}.k") * (F.col(f"{s}.v") + F.pow(F.col(f"{s}.m") - F.col(f"{s}.c"), F.lit(2.0)))).over(night)
+                              / F.nullif(F.col(f"{s}.n"), F.lit(0)))
+    nightly = centred.select(*keys, BUCKET, "_end", spread("_ms").alias("m_std"), spread("_hs").alias("h_std"),
+                             (F.sum("_ma").over(night) / F.nullif(F.col("_ms.n"), F.lit(0))).alias("m_abs"),
+                             F.col("_ms.n").alias("n_m"), F.col("_hs.n").alias("n_h"))
+    stats = ["m_std", "h_std", "m_abs", "n_m", "n_h"]
+    within = F.col("_end").isNull() | (F.struct(*order) <= F.col("_end"))
+    marked = rows.join(nightly, [*keys, BUCKET]).filter(within).select(
+        *keys, BUCKET, *order, F.col("heart_rate").alias("hr"), *stats,
         (size > AWAKE_STDS * F.col("m_std") + TIE).cast("int").alias("awake"),
         (size > F.col("m_abs") + F.col("m_std") + TIE).cast("int").alias("high"))
     rr = lambda row: F.lit(60000.0) / F.nullif(row["hr"], F.lit(0.0))
-    seen = adjacent_sums(
+    seen = sums_of_buckets(
         marked, keys, order, ["hr", "high"],
         terms={
             "crossings": lambda a, b: F.coalesce((a["high"] != b["high"]).cast("int"), F.lit(0)),
             "rr_sq": lambda a, b: F.coalesce(F.pow(rr(b) - rr(a), F.lit(2.0)), F.lit(0.0)),
             "rr_n": lambda a, b: (rr(a).isNotNull() & rr(b).isNotNull()).cast("int"),
         },
-        sums={"awake_n": F.col("awake")})
+        sums={"awake_n": F.col("awake")}, same=stats)
 
     bed = nights.select(*keys, F.pmod(minutes_of(F.col("out_bed")) - minutes_of(F.col("in_bed")), F.lit(1440))
                         .cast("double").alias("bed"))
-    rows = stats.join(seen, list(keys), "left").join(bed, list(keys), "full_outer")
+    rows = seen.join(bed, list(keys), "full_outer")
     bed_min = F.coalesce("bed", F.lit(BED_MINUTES))
     has_m, has_h = F.coalesce("n_m", F.lit(0)) > 0, F.coalesce("n_h", F.lit(0)) > 0
 

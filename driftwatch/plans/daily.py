@@ -75,15 +75,19 @@ def with_status(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
             "ewma_n", "ewma_mean", "ewma_var", "ewma_std", "resid_mean", "resid_std", "signed_mean", "signed_std")],
         *each(pick("res_{f}", "z_{f}", "NULL") + " AS res_{f}"),
         *each(pick("signed_{f}", "z_{f}", "NULL") + " AS signed_{f}"),
-        *[c for c in ("hidden_state",) if c in rows.columns])
+        *[c for c in ("hidden_state", "carry") if c in rows.columns])
     return out.withColumn("saved", F.col("status").isin(list(SAVED)))
 
 
 def judge_days(scored: DataFrame, s: Settings = DEFAULTS, signed: bool = True) -> DataFrame:
     """Streaks, level, risk types and advice; only ``success`` days carry a judgement."""
     keys = (KEY, "saved")
-    df = risk.judge(risk.classify(scored, s, signed, keys), s, keys)
-    df = df.withColumn("recommendation", risk.recommendation(
+    return advised(risk.judge(risk.classify(scored, s, signed, keys), s, keys))
+
+
+def advised(judged: DataFrame) -> DataFrame:
+    """Advice text, and no judgement on days that are not due one."""
+    df = judged.withColumn("recommendation", risk.recommendation(
         F.col("risk_level"), F.col("risk_types"), F.col("judged_streak")))
     when = {c: "status = 'success'" for c in ("risk_level", "risk_label", "risk_types", "recommendation")}
     when |= {c: "saved" for c in ("judged_streak", "consecutive_deviation_days", "reported_streak",

@@ -51,27 +51,33 @@ def _replace(df: DataFrame, path: str, part: str, asked: Sequence | None = None)
     """Write ``df`` by ``part``, replacing rows of the same person and part.
 
     The new rows are written aside once; stored rows of the touched parts that no new row
-    replaces are read (only those partitions) and written with them. ``asked`` names parts
-    that the job has worked out for everyone: all their stored rows go, also where nothing came.
+    replaces are read and written with them. The touched parts are few (days, weeks or versions) and
+    go into the filter by value, so no other partition is read. ``asked`` names parts that the job has worked
+    out for everyone: all their stored rows go, also where nothing came.
+
+    One job at a time may write a part; ``changes`` has tables for several.
     """
     spark = df.sparkSession
     aside = work_folder(spark, "rows")
     df.write.parquet(aside)
     fresh = out = spark.read.parquet(aside)
-    if _exists(spark, path):
-        old = spark.read.parquet(path)
-        kept = old.join(fresh.select(part).distinct(), part, "left_semi").join(
-            fresh.select(KEY, part).distinct(), [KEY, part], "left_anti")
+    came = [r[0] for r in fresh.select(part).distinct().collect()]
+    if _exists(spark, path) and came:
+        old = spark.read.parquet(path).filter(F.col(part).isin(came))
+        kept = old.join(fresh.select(KEY, part).distinct(), [KEY, part], "left_anti")
         if asked is not None:
             kept = kept.filter(~F.col(part).isin(list(asked)))
         out = fresh.unionByName(kept, allowMissingColumns=True)
     (out.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(part).parquet(path))
-    if asked is not None:
-        came = {str(r[0]) for r in fresh.select(part).distinct().collect()}
-        for value in {str(a) for a in asked} - came:
-            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}={value}")
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for value in {str(a) for a in asked or ()} - {str(c) for c in came}:
+        _delete(spark, f"{path}/{part}={value}")
+    _delete(spark, aside)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def save_daily(df: DataFrame, path: str, days: Sequence | None = None) -> None:

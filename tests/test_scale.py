@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import SF
+
 from driftwatch.operators.ordered import adjacent_sums, merge_runs, salted_join, trailing_sums
 
 EPOCH = dt.datetime(2026, 1, 1)
@@ -88,11 +90,35 @@ def test_salted_join_keeps_every_row(spark):
         map(tuple, left.join(right, "k").collect()))
 
 
+def plan_of(df):
+    """The plan that ran, without what it reuses."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_no_operator_puts_a_hot_key_into_one_window(spark):
-    """The event-level plans order rows by chunk or bucket, never by the bare key."""
+    """Rows are put in order inside a bucket, never inside a bare key."""
     df = frame(spark, skewed(), 4)
     plan = adjacent_sums(df, ["k"], ["ts", "id"], ["room"], {"m": lambda a, b: (a["room"] != b["room"]).cast("int")})
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    local = [l for l in text.split("\n") if "Window [lag(_here" in l]
-    assert local and all("_chunk" in l for l in local)
-    assert "rangepartitioning" in plan._jdf.queryExecution().executedPlan().toString()
+    local = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [lag(_here" in x]
+    assert local and all("_bucket" in x for x in local)
+
+
+@pytest.mark.parametrize("width", [None, 1, 60, 86400])
+def test_any_bucket_width_gives_the_same(spark, width):
+    df = frame(spark, skewed(), 4).withColumn("text", F.lit("t"))
+    terms = {"moves": lambda a, b: (a["room"] != b["room"]).cast("int")}
+    one = lambda w: sorted(map(tuple, adjacent_sums(df, ["k"], ["ts", "id"], ["room"], terms, width=w).collect()))
+    two = lambda w: sorted(map(str, merge_runs(df, ["k"], ["ts", "id"], "room", "text", {"a": "id"}, {"b": "id"}, width=w).collect()))
+    assert one(width) == one(10 ** 6) and two(width) == two(10 ** 6)
+
+
+@pytest.mark.parametrize("name", ["room_entropy", "speaker_turns", "sleep_features", "social_features_strict_gap", "joint_displacement"])
+def test_rows_are_read_once_and_dealt_once(spark, name):
+    from driftwatch.catalog.queries import CATALOG
+
+    plan = plan_of(CATALOG[name](spark, SF))
+    scans = 2 if name == "sleep_features" else 1        # the nights are a second look at two columns of the events
+    assert plan.count("FileScan parquet") == scans
+    dealt = [x for x in plan.split("\n") if "REPARTITION_BY_COL" in x and "ReusedExchange" not in x]
+    assert len(dealt) == 1 and "rangepartitioning" not in plan
