@@ -35,6 +35,9 @@ class ByteEncoder(Encoder):
     chunk by itself for the same reason.
     """
 
+    cuts: np.ndarray
+    inner: np.ndarray
+
     def _words(self, block: flat.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = block.data = block.raw
         n = len(data)
@@ -46,10 +49,13 @@ class ByteEncoder(Encoder):
             lead = data[np.maximum(at - back, 0)]
             plain &= ~((before >= 128) & (before < 192) & _MAYBE_SPACE[lead] & (at >= back))
         plain &= ((after > 32) & (after < 127)) | ((after >= 128) & ~_MAYBE_SPACE[after])
-        edges = np.isin(at, block.offsets) | np.isin(at + 1, block.offsets)
-        cuts = at[plain & ~edges]
-        size = np.diff(block.offsets)
-        start = np.union1d(block.offsets[:-1][size > 0], cuts)
+        bounds = np.zeros(n + 1, bool)
+        bounds[block.offsets] = True
+        self.cuts = np.zeros(n + 1, bool)
+        self.cuts[at[plain & ~bounds[at] & ~bounds[at + 1]]] = True
+        begins = self.cuts.copy()
+        begins[block.offsets[:-1][np.diff(block.offsets) > 0]] = True
+        start = np.flatnonzero(begins)
         end = np.append(start[1:], n)[:len(start)]
         last, second = data[end - 1], data[np.maximum(end - 2, 0)]
         word = ((second >= 97) & (second <= 122)) | ((second >= 65) & (second <= 90)) | ((second >= 48) & (second <= 57))
@@ -57,16 +63,36 @@ class ByteEncoder(Encoder):
         tails = end[cut] - 1
         ends = end.copy()
         ends[cut] = tails
+        self.inner = np.zeros(n + 1, bool)                  # chunks between two cuts
+        self.inner[start[self.cuts[start] & self.cuts[end]]] = True
         start = np.concatenate([start, tails])
         order = np.argsort(start, kind="stable")
         start, end = start[order], np.concatenate([ends, end[cut]])[order]
         return start, end, np.searchsorted(block.offsets, start, "right") - 1
 
+    def _new_ids(self, block: flat.Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks between two cuts may stand in any order in one text, which is encoded in one go."""
+        inner = self.inner[start]
+        alone, length = super()._new_ids(block, start[~inner], end[~inner])
+        size = (end - start)[inner]
+        first = np.cumsum(size) - size
+        joined = block.data[np.arange(int(size.sum())) + np.repeat(start[inner] - first, size)]
+        one = self.tokenizer.encode(joined.tobytes().decode(), add_special_tokens=False)
+        places = np.cumsum((joined & 0xC0) != 0x80)         # characters up to each byte
+        of = np.searchsorted(places[first] - 1, np.fromiter((a for a, _ in one.offsets), np.int64, len(one)), "right") - 1
+        counts = np.zeros(len(start), np.int64)
+        counts[~inner] = length
+        counts[inner] = np.bincount(of, minlength=len(first))
+        out = np.zeros(counts.sum(), np.uint32)
+        mine = np.repeat(inner, counts)
+        out[mine], out[~mine] = np.array(one.ids, np.uint32), alone
+        return out, counts
+
 
 @functools.cache
 def encoder(path: str) -> ByteEncoder:
     """One per worker process, so that the store of encoded chunks outlives a task."""
-    return ByteEncoder(path, end=END)
+    return ByteEncoder(path, keep=800_000, end=END)
 
 
 def pieces_of(total: int, window: int = WINDOW) -> list[tuple[int, int]]:

@@ -55,6 +55,13 @@ class Encoder:
         order = np.argsort(np.concatenate([start, tails]), kind="stable")
         return tuple(np.concatenate(p)[order] for p in ((start, tails), (end, tails + 1), (doc, doc[cut])))
 
+    def _new_ids(self, block: flat.Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given words, one after the other, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch(
+            [block.data[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)],
+            add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
     def encode(self, block: flat.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block's documents, each with its final id, and the number of each document."""
         start, end, doc = self._words(block)
@@ -65,12 +72,9 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.codes, unique), max(len(self.codes) - 1, 0))
         new = self.codes[at] != unique if len(self.codes) else np.ones(len(unique), bool)
         if new.any():
-            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
-            ids = [e.ids for e in self.tokenizer.encode_batch(
-                [block.data[a:b].tobytes().decode() for a, b in spans], add_special_tokens=False)]
-            length = np.array([len(x) for x in ids], np.int64)
+            ids, length = self._new_ids(block, start[first[new]], end[first[new]])
             where = len(self.store) + np.cumsum(length) - length
-            self.store = np.concatenate([self.store, np.array([i for x in ids for i in x], np.uint32)])
+            self.store = np.concatenate([self.store, ids])
             codes = np.concatenate([self.codes, unique[new]])
             order = np.argsort(codes)
             self.codes = codes[order]
