@@ -95,7 +95,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sig binary"
     names = [p.split()[0] for p in schema.split(", ")]
     ship_package(docs.sparkSession)
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema).withColumn(
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(flat.trimmed(run), schema).withColumn(
         "row", F.monotonically_increasing_id())
 
 
@@ -110,7 +110,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     side = lambda x: reps.select(F.col("row").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        f"100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").mapInArrow(run, "a long, b long")
+        f"100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)").mapInArrow(flat.trimmed(run), "a long, b long")
 
 
 def _sets(rows: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _sets(rows: DataFrame, reps: DataFrame, docs: DataFrame, broadcast_rows: int
     texts = docs.select("doc_id", "text").join(
         bounded(asked, broadcast_rows),
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
-    return stored(texts.select("row", "text").mapInArrow(run, "row long, items array<long>").dropDuplicates(["row"]), "sets")
+    return stored(texts.select("row", "text").mapInArrow(flat.trimmed(run), "row long, items array<long>").dropDuplicates(["row"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -189,6 +189,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = after
 
 
+def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` (row, label) of components after further edges (a, b): only the edges between labels are worked on."""
+    own = lambda x: labels.select(F.col("row").alias(x), F.col("label").alias(f"label_{x}"))
+    between = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(
+        F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    merged = components(between, "merged").select(F.col("row").alias("label"), F.col("label").alias("least"))
+    new = more.select(F.col("a").alias("row")).union(more.select("b")).distinct().join(labels, "row", "left_anti")
+    return labels.union(new.withColumn("label", F.col("row"))).join(merged, "label", "left").select(
+        "row", F.coalesce("least", "label").alias("label"))
+
+
 def near_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, text_key (xxhash64 of the text), kept.
 
@@ -227,7 +238,7 @@ def near_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     second = stored(_likely(_sharing_rare(sets, apart).join(first, ["a", "b"], "left_anti"), reps), "pairs")
     more = stored(_linked(second, sets), "links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = stored(joined_labels(labels, more), "labels")
     labelled = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select(
         "doc_id", "row", "text_key", "n_shingles", F.coalesce("label", "rep").alias("label"))
     grouped = tree_merge(stored(labelled, "labels"), ["label"], ["doc_id", "row"], name="groups").select(

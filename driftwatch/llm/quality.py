@@ -187,4 +187,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, size: int = 8192) -> Data
             passed = pa.array(scorer(fitted.value)(batch.column(batch.schema.get_field_index("text"))) >= CUT)
             yield batch.filter(passed)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(flat.trimmed(keep), docs.schema)

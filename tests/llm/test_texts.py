@@ -180,6 +180,15 @@ def test_components_of_chains_and_rings(spark):
 
 # ---- language model ------------------------------------------------------
 
+
+def test_labels_after_further_edges(spark):
+    edge = lambda *pairs: spark.createDataFrame([*pairs], "a long, b long")
+    first, more = [(5, 2), (9, 7), (7, 8), (20, 21)], [(9, 5), (30, 31), (31, 1), (2, 5), (40, 20)]
+    labels = minhash.components(edge(*first))
+    got = {r["row"]: r.label for r in minhash.joined_labels(labels, edge(*more)).collect()}
+    assert got == {r["row"]: r.label for r in minhash.components(edge(*first, *more)).collect()}
+
+
 def test_elias_fano_finds_every_member():
     rng = np.random.default_rng(1)
     for n, universe in ((0, 50), (1, 3), (60, 90), (900, 131_136)):
