@@ -808,7 +808,28 @@ SELECT round(a / t, 4) AS alerts_per_elder_day, a AS total_alerts, t AS total_el
 FROM (SELECT (SELECT count(*) FROM c10_judged WHERE risk_level >= 2 AND date BETWEEN DATE '2024-01-08' AND DATE '2024-01-28') AS a,
              (SELECT count(DISTINCT elder_id) FROM utt) * 21 AS t)""")
 oracle("stream_sliding_24h", f"SELECT {SLIDE_COLS} FROM sl24 WHERE w_end <= (SELECT max(ts) FROM utt) - INTERVAL 1 HOUR")
-oracle("stream_trailing_24h", f"SELECT {TRAIL_COLS} FROM tr24")
+def expiries(hours: int) -> str:
+    """The first full millisecond after a window of silence: before a later arrival, or behind the last one if the final watermark
+    (an hour before the last event of all) has passed it."""
+    end = f"(epoch_us(ts) + {hours} * 3600000000) // 1000 + 1"
+    return f"""
+SELECT elder_id, ({end}) * 1000 AS ts, {hours}.0::DOUBLE AS hours, 0.05::DOUBLE AS sad_ratio, 4.0::DOUBLE AS avg_speed, 25.0::DOUBLE AS pitch_variability,
+  0.0::DOUBLE AS distress_events, 0::BIGINT AS n_utterances, 0.0::DOUBLE AS total_duration
+FROM (SELECT elder_id, ts, lead(ts) OVER (PARTITION BY elder_id ORDER BY ts) AS next,
+        (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM utt) AS mark FROM (SELECT DISTINCT elder_id, ts FROM utt))
+WHERE CASE WHEN next IS NULL THEN {end} <= mark ELSE epoch_us(next) - epoch_us(ts) > {hours} * 3600000000 END"""
+
+
+_cols = f"{', '.join(r(c) for c in ACOUSTIC)}, n_utterances, {r('total_duration')}"
+oracle("stream_trailing_24h", f"SELECT DISTINCT {TRAIL_COLS} FROM tr24 UNION ALL SELECT elder_id, ts, {_cols} FROM ({expiries(24)})")
+oracle("stream_trailing_multi", " UNION ALL ".join(
+    f"SELECT DISTINCT elder_id, epoch_us(ts) AS ts, {h}.0::DOUBLE AS hours, {_cols} FROM tr{h} "
+    f"UNION ALL SELECT elder_id, ts, hours, {_cols} FROM ({expiries(h)})" for h in (24, 4, 1)))
+CTES["files"] = "SELECT *, CAST(floor(day(ts) / 8) AS INTEGER) + (event_id % 6 = 0)::INT AS file FROM utt"
+CTES["marks"] = "SELECT n.file, (SELECT epoch_us(max(ts)) - 3600000000 FROM files p WHERE p.file < n.file) AS mark FROM (SELECT DISTINCT file FROM files) n"
+oracle("stream_late_rows", """
+SELECT elder_id, count(*) FILTER (WHERE NOT late) AS on_time, count(*) FILTER (WHERE late) AS late, epoch_us(max(CASE WHEN late THEN ts END)) AS last_late
+FROM (SELECT elder_id, ts, coalesce(epoch_us(ts) < mark, false) AS late FROM files JOIN marks USING (file)) GROUP BY 1""")
 oracle("stream_ewma", f"""
 SELECT elder_id, CAST(s.date AS VARCHAR) AS date, {r('x', 'anomaly_score')}, n_before, {r('mean_before')}, {r('var_before')},
   {r('t', 'dynamic_threshold')}, x > t AS is_deviation, i AS ewma_n, {r('ewma_mean')}, {r('ewma_var')}

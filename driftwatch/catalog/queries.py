@@ -702,9 +702,48 @@ def stream_sliding_24h(spark, d):
 
 @query
 def stream_trailing_24h(spark, d):
-    """Exact trailing features at each arrival from keyed state."""
-    out = live.run_available(stateful.trailing_features(_stream(spark, d), digits=False), "trailing")
-    return tidy(out.filter("n_utterances > 0"))
+    """Exact trailing features at each arrival from keyed state, and an empty row where a day of silence has passed."""
+    with stateful.rocksdb_store(spark):
+        return tidy(live.run_available(stateful.trailing_features(_stream(spark, d), digits=False), "trailing"))
+
+
+def _files_in_order(spark, d, files: int = 5) -> str:
+    """The event table as ``files`` files of equal spans of time, written one after the other."""
+    e, folder = ev.table(spark, d, "events"), live.work_folder(spark, "events")
+    low, high = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * files / (high - low + 1)), F.lit(files - 1))
+    for n in range(files):
+        e.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _arrivals(spark, folder):
+    schema = spark.read.parquet(folder).schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return ev.utterances(ev.with_event_columns(raw))
+
+
+@query
+def stream_trailing_multi(spark, d):
+    """Horizons of 24, 4 and 1 hours from one state over five files, one a trigger, with the rows of expired windows."""
+    with stateful.rocksdb_store(spark):
+        out = stateful.trailing_horizons(_arrivals(spark, _files_in_order(spark, d)), (24, 4, 1), digits=False)
+        return tidy(live.run_available(out, "horizons"))
+
+
+@query
+def stream_late_rows(spark, d):
+    """Every sixth event comes with the file after its own: on time and late rows, counted per person."""
+    e, folder, out = ev.table(spark, d, "events"), live.work_folder(spark, "events"), live.work_folder(spark, "split")
+    part = F.floor(F.dayofmonth("ts") / 8) + (F.col("event_id") % 6 == 0).cast("int")
+    for n in range(5):
+        e.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+    query = live.split_late(_arrivals(spark, folder), out, f"{out}/state", availableNow=True)
+    query.awaitTermination()
+    both = spark.read.parquet(f"{out}/on_time").withColumn("late", F.lit(False)).unionByName(
+        spark.read.parquet(f"{out}/late").withColumn("late", F.lit(True)))
+    return tidy(both.groupBy(KEY).agg(F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"),
+                                      F.max(F.when(F.col("late"), F.col("ts"))).alias("last_late")))
 
 
 @query
@@ -713,4 +752,5 @@ def stream_ewma(spark, d):
     folder = live.work_folder(spark, "scores")
     _cold(spark, d).select(*KD, "anomaly_score", F.lit(1.5).alias("static_threshold")).write.parquet(folder)
     scores = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
-    return tidy(live.run_available(stateful.running_ewma(scores), "ewma"))
+    with stateful.rocksdb_store(spark):
+        return tidy(live.run_available(stateful.running_ewma(scores), "ewma"))

@@ -6,9 +6,11 @@ watermark instead of by the next arrival; how many were dropped is in the query
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from driftwatch.config import DAY, KEY
 from driftwatch.operators.acoustic import features_from_sums, utterance_measures
@@ -54,6 +56,51 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
+class LateCounter(StreamingQueryListener):
+    """Rows that the watermark has dropped, by query name, from all progress reports (not only the recent ones)."""
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped[event.progress.name or str(event.progress.id)] += sum(
+            op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def split_late(stream: DataFrame, path: str, checkpoint: str, at: str = "ts", late_seconds: int = 3600,
+               **trigger) -> StreamingQuery:
+    """Write rows in time to ``path``/on_time and rows behind the watermark to ``path``/late, by batch.
+
+    The watermark is the largest instant of the batches before, less ``late_seconds``. It is written beside the rows
+    (``path``/seen), one row a batch. A windowed query drops by the watermark that the batch before had, so all it drops
+    is in quarantine here, to be looked at or run again, and no row is lost. A repeated batch replaces its own folders.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark, limit = batch.sparkSession, None
+        if number:
+            seen = spark.read.schema("top long, batch long").parquet(f"{path}/seen")
+            limit = seen.filter(F.col("batch") < number).agg(F.max("top")).first()[0]
+        us = F.unix_micros(at)
+        behind = F.coalesce(us < F.lit(limit) - late_seconds * 1_000_000, F.lit(False)) if limit is not None else F.lit(False)
+        rows = batch.withColumn("_late", behind)
+        for name, kept in (("on_time", rows.filter("NOT _late")), ("late", rows.filter("_late"))):
+            kept.drop("_late").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        (batch.agg(F.max(us).alias("top")).withColumn("batch", F.lit(number).cast("long")).coalesce(1)
+              .write.mode("overwrite").parquet(f"{path}/seen/part={number}"))
+
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": f"{SNAPSHOT_SECONDS} seconds"})).start())
+
+
 # ---- sinks ---------------------------------------------------------------
 
 def append_history(snapshots: DataFrame, path: str, checkpoint: str, at: str = "window_end", **trigger) -> StreamingQuery:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,57 +24,138 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 # two processors below travel by value. They use nothing of this package but constants.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _check_store(spark: SparkSession) -> None:
+    if spark.conf.get(PROVIDER) != ROCKSDB:
+        raise RuntimeError(f"keyed state needs the RocksDB store: set {PROVIDER} to {ROCKSDB}")
+
+
+@contextlib.contextmanager
+def rocksdb_store(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store for streams that are made and started inside; the session's own setting comes back."""
+    own = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, own)
+
+
 _SUMS = ["n_utterances", "dur_sum", "sad_sum", "speed_sum", "pitch_sum", "pitch_sq", "distress_sum"]
 
 
-class TrailingWindow(StatefulProcessor):
-    """Sums over ``[t - window, t]`` at every instant ``t`` of a person.
+class TrailingBuckets(StatefulProcessor):
+    """Sums over ``[t - horizon, t]`` at every instant ``t`` of a person, for several horizons from one state.
+
+    The state is a ring of quarter-hour buckets. ``ring`` holds each bucket's totals, the last instant, and which horizons
+    have run out since; ``inside`` holds a bucket's instants with their sums. A window is the part of its oldest bucket
+    behind its start, the totals of the buckets between, and the part of its newest bucket up to ``t``; so a batch
+    reads and writes only the buckets that its rows and their windows' ends fall into, not every instant of a day.
 
-    State is one entry per instant inside the window; it holds sums, so rows that share an
-    instant cost one entry. A timer reports the empty window once a person has been silent
-    for that long.
+    When a person has been silent for a horizon, an empty row says so: by a timer, or on the next arrival if that
+    comes first. Buckets that no window can reach any more go with the next batch, all of them with the last timer.
     """
 
-    def __init__(self, window_seconds: int) -> None:
-        self.span = window_seconds * 1_000_000
+    def __init__(self, horizons: tuple[int, ...], bucket_seconds: int = 900) -> None:
+        self.spans = [h * 1_000_000 for h in sorted(horizons)]
+        self.size = bucket_seconds * 1_000_000
+        if self.spans[0] <= self.size:
+            raise ValueError("a horizon must be longer than a bucket")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getMapState("instants", "us bigint", ", ".join(f"{n} double" for n in _SUMS))
+        self.ring = handle.getValueState("ring", "buckets binary, totals binary, last bigint, expired int")
+        self.inside = handle.getMapState("inside", "bucket bigint", "at binary, sums binary")
 
-    def _table(self) -> tuple[np.ndarray, np.ndarray]:
-        items = sorted((k[0], tuple(v)) for k, v in self.entries.iterator())
-        at = np.array([k for k, _ in items], dtype="int64")
-        return at, np.array([v for _, v in items], dtype=float).reshape(len(items), len(_SUMS))
+    def _bucket(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.inside.containsKey((number,)):
+            return np.zeros(0, "int64"), np.zeros((0, len(_SUMS)))
+        at, sums = self.inside.getValue((number,))
+        return np.frombuffer(at, "int64"), np.frombuffer(sums).reshape(-1, len(_SUMS))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).groupby("us")[_SUMS].sum().sort_index()
-        at, sums = self._table()
-        known = dict(zip(at.tolist(), sums))
-        for us, row in zip(new.index.tolist(), new.to_numpy()):
-            known[us] = known[us] + row if us in known else row
-            self.entries.updateValue((us,), tuple(float(x) for x in known[us]))
-        at = np.array(sorted(known), dtype="int64")
-        sums = np.array([known[a] for a in at.tolist()])
-        here = new.index.to_numpy(dtype="int64")
-        low, high = np.searchsorted(at, here - self.span, "left"), np.searchsorted(at, here, "right")
-        out = np.array([sums[a:b].sum(axis=0) for a, b in zip(low, high)])
-        # Rows still allowed by the watermark may need entries that old.
-        floor = min(int(at[-1]), max(0, timerValues.getCurrentWatermarkInMs()) * 1000 or int(at[0])) - self.span
-        for old in at[at < floor].tolist():
-            self.entries.removeKey((old,))
+        here, added = new.index.to_numpy(dtype="int64"), new.to_numpy(dtype=float)
+        totals, last, expired = {}, None, 0
+        if self.ring.exists():
+            buckets, sums, last, expired = self.ring.get()
+            totals = dict(zip(np.frombuffer(buckets, "int64").tolist(), np.frombuffer(sums).reshape(-1, len(_SUMS))))
+        open_buckets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def bucket(number: int) -> tuple[np.ndarray, np.ndarray]:
+            if number not in open_buckets:
+                open_buckets[number] = self._bucket(number) if number in totals else (np.zeros(0, "int64"), np.zeros((0, len(_SUMS))))
+            return open_buckets[number]
+
+        numbers = here // self.size
+        for number in np.unique(numbers).tolist():
+            at, sums = bucket(number)
+            mine = numbers == number
+            every = np.union1d(at, here[mine])
+            merged = np.zeros((len(every), len(_SUMS)))
+            merged[np.searchsorted(every, at)] = sums
+            merged[np.searchsorted(every, here[mine])] += added[mine]
+            open_buckets[number] = every, merged
+            totals[number] = merged.sum(axis=0)
+            self.inside.updateValue((number,), (every.tobytes(), merged.tobytes()))
+        order = np.array(sorted(totals), "int64")
+        whole = np.array([totals[n] for n in order.tolist()])
+
+        out, gaps = [], []
+        before = last
+        for t, number in zip(here.tolist(), numbers.tolist()):
+            if before is not None and t > before:
+                gaps += [(self._expiry(before, span), span) for i, span in enumerate(self.spans)
+                         if t - before > span and not (before == last and expired >> i & 1)]
+            before = t if before is None else max(before, t)
+            at, sums = bucket(number)
+            head = sums[:np.searchsorted(at, t, "right")].sum(axis=0)
+            for span in self.spans:
+                first = (t - span) // self.size
+                a, b = np.searchsorted(order, (first + 1, number))
+                old, olds = bucket(first)
+                out.append(head + whole[a:b].sum(axis=0) + olds[np.searchsorted(old, t - span):].sum(axis=0))
+
+        if last is None or before > last:
+            expired = 0
+        # Rows that the watermark still allows may need buckets that old.
+        low = min(before, max(0, timerValues.getCurrentWatermarkInMs()) * 1000 or int(here[0])) - self.spans[-1]
+        for number in order[order < low // self.size].tolist():
+            self.inside.removeKey((number,))
+            del totals[number]
+        kept = np.array(sorted(totals), "int64")
+        self.ring.update((kept.tobytes(), np.array([totals[n] for n in kept.tolist()]).tobytes(), before, expired))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((at[-1] + self.span) // 1000) + 1)
-        yield self._rows(key, here, out)
+        for i, span in enumerate(self.spans):
+            if not expired >> i & 1:
+                self.handle.registerTimer(self._expiry(before, span) // 1000)
+        yield self._rows(key, np.repeat(here, len(self.spans)), np.tile(self.spans, len(here)), np.array(out))
+        if gaps:
+            yield self._rows(key, *np.array(gaps, "int64").T, np.zeros((len(gaps), len(_SUMS))))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.entries.clear()
-        at = np.array([expiredTimerInfo.getExpiryTimeInMs() * 1000], dtype="int64")
-        yield self._rows(key, at, np.zeros((1, len(_SUMS))))
-
-    def _rows(self, key, at, sums) -> pd.DataFrame:
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        buckets, sums, last, expired = self.ring.get()
+        done = [(i, span) for i, span in enumerate(self.spans) if self._expiry(last, span) == at and not expired >> i & 1]
+        expired |= sum(1 << i for i, _ in done)
+        if expired == (1 << len(self.spans)) - 1:
+            self.inside.clear()
+            buckets = sums = b""
+        self.ring.update((buckets, sums, last, expired))
+        if done:
+            yield self._rows(key, np.full(len(done), at), np.array([span for _, span in done]), np.zeros((len(done), len(_SUMS))))
+
+    @staticmethod
+    def _expiry(last: int, span: int) -> int:
+        """The first full millisecond, as an instant, after the window that began with ``last``."""
+        return ((last + span) // 1000 + 1) * 1000
+
+    def _rows(self, key, at, spans, sums) -> pd.DataFrame:
         out = pd.DataFrame(sums, columns=_SUMS)
+        out.insert(0, "hours", np.asarray(spans) / 3_600_000_000)
         out.insert(0, "us", at)
         out.insert(0, KEY, key[0])
         return out
@@ -82,15 +164,26 @@ class TrailingWindow(StatefulProcessor):
         pass
 
 
-def trailing_features(utterances: DataFrame, hours: int = 24, late: str = "1 hour", digits: bool = True) -> DataFrame:
-    """Exact trailing features at each arrival on a stream of utterances."""
-    utterances.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def trailing_horizons(utterances: DataFrame, hours: Sequence[float] = (24, 4, 1), late: str = "1 hour",
+                      digits: bool = True) -> DataFrame:
+    """Exact trailing features at each arrival on a stream of utterances, a row per arrival and horizon (``hours``).
+
+    A horizon without speech gives an empty row once, right after it has run out. The session must use the RocksDB
+    state store (``build_session`` does).
+    """
+    _check_store(utterances.sparkSession)
     rows = utterances.withWatermark("ts", late).select(
         KEY, "ts", F.unix_micros("ts").alias("us"), *[e.cast("double").alias(n) for n, e in utterance_measures().items()])
-    schema = T.StructType([utterances.schema[KEY], T.StructField("us", T.LongType())]
+    schema = T.StructType([utterances.schema[KEY], T.StructField("us", T.LongType()), T.StructField("hours", T.DoubleType())]
                           + [T.StructField(n, T.DoubleType()) for n in _SUMS])
-    sums = rows.groupBy(KEY).transformWithStateInPandas(TrailingWindow(hours * 3600), schema, "Append", "EventTime")
-    return sums.select(KEY, F.timestamp_micros("us").alias("ts"), *features_from_sums(digits))
+    state = TrailingBuckets(tuple(round(h * 3600) for h in hours))
+    sums = rows.groupBy(KEY).transformWithStateInPandas(state, schema, "Append", "EventTime")
+    return sums.select(KEY, F.timestamp_micros("us").alias("ts"), "hours", *features_from_sums(digits))
+
+
+def trailing_features(utterances: DataFrame, hours: int = 24, late: str = "1 hour", digits: bool = True) -> DataFrame:
+    """``trailing_horizons`` for one horizon."""
+    return trailing_horizons(utterances, (hours,), late, digits).drop("hours")
 
 
 class RunningEwma(StatefulProcessor):
@@ -136,7 +229,7 @@ def running_ewma(scores: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     person and day. Days of one batch are taken in date order; a day at or before the last one
     taken (a replay, or one that comes too late) neither changes the state nor gives a row.
     """
-    scores.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    _check_store(scores.sparkSession)
     d, i = T.DoubleType(), T.LongType()
     schema = T.StructType([scores.schema[KEY], scores.schema[DAY]] + [T.StructField(n, t) for n, t in [
         ("anomaly_score", d), ("n_before", i), ("mean_before", d), ("var_before", d), ("dynamic_threshold", d),
