@@ -556,7 +556,7 @@ oracle("activity_by_precedence", f"""
 SELECT {KD}, {r("greatest(100, least(20000, coalesce(rep / 36, CASE WHEN nf > 1 THEN disp / 100 WHEN nf = 1 THEN 3000 END, 5000)))", "daily_activity")}
 FROM (SELECT DISTINCT elder_id, date FROM utt)
 LEFT JOIN (SELECT elder_id, date, max(k * 3600) AS rep FROM utt WHERE event_type = 'purchase' GROUP BY 1, 2) USING (elder_id, date)
-LEFT JOIN (SELECT elder_id, date, sum(path) AS disp, max(n) AS nf FROM frm WHERE event_type IN ('error', 'view') GROUP BY 1, 2) USING (elder_id, date)""")
+LEFT JOIN (SELECT elder_id, date, sum(path) AS disp, max(n) AS nf FROM frm GROUP BY 1, 2) USING (elder_id, date)""")
 oracle("room_entropy", f"""
 SELECT {KD}, n AS n_visits, moves, {r("CASE WHEN n >= 2 THEN greatest(0.1, least(5, h * (1 + moves / n))) ELSE 2 END", "space_entropy")}
 FROM (SELECT elder_id, date, CAST(sum(c) AS BIGINT) AS n, -sum(c / tot * log2(c / tot)) AS h

@@ -137,8 +137,7 @@ def activity_by_precedence(spark, d):
     e = _events(spark, d)
     reported = e.filter(F.col("event_type") == "purchase").select(
         *KD, (F.col("k") * 3600.0).alias("activity_seconds"))
-    frames = ev.frames(e).filter(F.col("joint").isin("error", "view"))
-    return tidy(activity.daily_activity(KD, reported=reported, frames=frames, days=e, digits=False))
+    return tidy(activity.daily_activity(KD, reported=reported, frames=ev.frames(e), days=e, digits=False))
 
 
 @query
