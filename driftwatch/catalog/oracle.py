@@ -697,6 +697,7 @@ SELECT elder_id, {r('arg_max(ewma_mean, i)', 'ewma_mean')}, {r('arg_max(ewma_var
 oracle("score_percentiles", f"""
 SELECT elder_id, count(*) AS n_scores, {r('CASE WHEN count(*) < 3 THEN max(anomaly_score) + 2.5 ELSE quantile_cont(anomaly_score, 0.9) END', 'score_percentile')}
 FROM cold GROUP BY 1""")
+oracle("score_percentiles_merged", f"SELECT elder_id, count(*) AS n_scores, {r('quantile_disc(anomaly_score, 0.9)', 'score_percentile')} FROM cold GROUP BY 1")
 _some, _rows = "names <> ''", ", ".join(r(c) for c in ("anomaly_score", "static_threshold", "ewma_threshold", "dynamic_threshold"))
 for _q, _p in (("daily_results", "std"), ("daily_results_stored", "std"), ("daily_results_two_versions", "std"),
                ("daily_results_sensitive", "low"), ("daily_results_by_steps", "std")):

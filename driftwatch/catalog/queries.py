@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftwatch.config import DAY, FEATURES, KEY, RISK_RULES, Settings
 from driftwatch.functions.text import add, array, each
 from driftwatch.operators import (acoustic, activity, alerts, assemble, baseline, dialogue, ewma, health, metrics,
-                                  quality, report, risk, scoring, sleep, social)
+                                  quality, report, risk, scoring, sketch, sleep, social)
 from driftwatch.operators.asof import as_of_join
 from driftwatch.plans import daily, handoff, steps, weekly
 from driftwatch.session import ensure_session
@@ -333,6 +333,13 @@ def score_percentiles(spark, d):
     return tidy(ewma.score_percentile(_cold(spark, d), [KEY], "anomaly_score", 90.0, "max(anomaly_score) + 2.5D"))
 
 
+@query
+def score_percentiles_merged(spark, d):
+    """Sketches per person and week, added up per person: no second look at the scores."""
+    weekly = sketch.score_sketches(_cold(spark, d).withColumn("week", F.date_trunc("week", DAY)), [KEY, "week"])
+    return tidy(sketch.sketch_percentile(sketch.merged_sketches(weekly, [KEY]), 90.0))
+
+
 RESULT_COLUMNS = [KEY, DAY, "data_quality", "missing_count", "status", "anomaly_score", "static_threshold",
                   "ewma_threshold", "dynamic_threshold", "is_deviation", "in_observation_period", "ewma_n", "ewma_mean",
                   "ewma_std", "judged_streak", "consecutive_deviation_days", "reported_streak", "avg_anomaly_7d",
