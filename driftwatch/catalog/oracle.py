@@ -287,6 +287,11 @@ FROM {p}_res r LEFT JOIN {p}_judged j USING (elder_id, date) LEFT JOIN {p}_names
 
 
 daily_job("std", "base", 2.5, 3.0, 7, 20, False)
+daily_job("two", "base", 2.5, 3.0, 7, 20, False)
+CTES["two_rows0"] = CTES["two_rows"]
+CTES["two_rows"] = """
+SELECT r.* REPLACE (CASE WHEN r.date > b.train_date + 9 THEN r.static_threshold / 2 ELSE r.static_threshold END AS static_threshold)
+FROM two_rows0 r LEFT JOIN base b USING (elder_id)"""
 daily_job("low", "base_low", 0.25, 1.0, 1, 8, True)
 
 # ---- weekly ----
@@ -699,7 +704,7 @@ SELECT elder_id, count(*) AS n_scores, {r('CASE WHEN count(*) < 3 THEN max(anoma
 FROM cold GROUP BY 1""")
 oracle("score_percentiles_merged", f"SELECT elder_id, count(*) AS n_scores, {r('quantile_disc(anomaly_score, 0.9)', 'score_percentile')} FROM cold GROUP BY 1")
 _some, _rows = "names <> ''", ", ".join(r(c) for c in ("anomaly_score", "static_threshold", "ewma_threshold", "dynamic_threshold"))
-for _q, _p in (("daily_results", "std"), ("daily_results_stored", "std"), ("daily_results_two_versions", "std"),
+for _q, _p in (("daily_results", "std"), ("daily_results_stored", "std"), ("daily_results_two_versions", "two"),
                ("daily_results_sensitive", "low"), ("daily_results_by_steps", "std")):
     oracle(_q, f"""
 SELECT {KD}, data_quality, CAST(missing_count AS BIGINT) AS missing_count, status, {_rows}, is_deviation, in_observation_period,

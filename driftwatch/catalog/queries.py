@@ -375,18 +375,14 @@ def daily_results_stored(spark, d):
 
 @query
 def daily_results_two_versions(spark, d):
-    """A second version that says the same, dated nine days later: judgement goes on as if there were one."""
+    """A second version with half the static threshold, trained nine days later: days after it are judged by it, while
+    the running state and the observation period go on from the first."""
     first = daily.first_baselines(_days(spark, d)).withColumn("first_train_date", F.col("train_date"))
-    second = first.withColumn("version", F.lit(2)).withColumn("train_date", F.date_add("train_date", 9))
+    second = first.withColumns({"version": F.lit(2), "train_date": F.date_add("train_date", 9),
+                                "static_threshold": F.col("static_threshold") / 2})
     return _result_table(daily.daily_job(_daily(spark, d), Settings(), baselines=_stored_baselines(spark, first, second)))
 
 
-@query
-def daily_results_sensitive(spark, d):
-    """The daily job with low limits."""
-    return _result_table(_results(spark, d))
-
-
 @query
 def daily_results_by_steps(spark, d):
     """The daily job from a state per person: ten days to catch up, then day by day over enrolment and first scores,

@@ -18,7 +18,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ from driftwatch.operators import assemble, baseline, quality, risk, scoring
 from driftwatch.plans import daily
 
 THROUGH = "through"   # last day that a state has seen
+METRICS = ("days long, stored_days long, valid_days long, offline_days long, results long, saved long, deviations long, "
+           "raised long")
 _DOUBLES = ", ".join(f"{f}: double" for f in FEATURES)
 _PAST = f"date: date, {_DOUBLES}, short: boolean, bad: boolean"
 
@@ -148,7 +150,8 @@ def run_day(features: DataFrame, folder: str, day: dt.date, s: Settings = DEFAUL
 
     ``features`` is the whole feature table; only rows after the state's day and up to ``day`` are read (one date
     partition if yesterday was run). A day that is run again starts from the same state and replaces what it wrote;
-    later days must then be run again too. A state is used once its folder is complete, so a job that
+    later days must then be run again too. Counts of the run (``METRICS``) are taken while its rows pass by and are
+    written beside them, under ``metrics``. A state is used once its folder is complete, so a job that
     is broken off leaves the earlier state in charge.
     """
     spark = features.sparkSession
@@ -160,10 +163,16 @@ def run_day(features: DataFrame, folder: str, day: dt.date, s: Settings = DEFAUL
         since = max(d for d in _days_in(spark, f"{folder}/state") if d < day)
         fresh = fresh.filter(F.col(DAY) > F.lit(since))
     labelled = continued(fresh, state, day, s)
-    written = f"{folder}/results/{THROUGH}={day}"
-    step_results(labelled, s, signed).write.mode("overwrite").parquet(written)
+    written, read, given = f"{folder}/results/{THROUGH}={day}", Observation(), Observation()
+    new = F.col("carry").isNotNull()
+    counted = labelled.observe(read, *[F.count_if(new & c).alias(n) for n, c in (
+        ("days", F.lit(True)), ("stored_days", F.col("stored")), ("valid_days", F.col("valid")), ("offline_days", F.col("data_quality") == "offline"))])
+    step_results(labelled, s, signed).observe(given, F.count(F.lit(1)).alias("results"), F.count_if("saved").alias("saved"),
+                                              F.count_if(F.col("saved") & F.col("is_deviation")).alias("deviations"),
+                                              F.count_if(F.col("risk_level") > 0).alias("raised")).write.mode("overwrite").parquet(written)
     results = spark.read.parquet(written)
-    next_state(labelled, results, state, day, s).drop(THROUGH).write.mode("overwrite").parquet(f"{folder}/state/{THROUGH}={day}")
+    next_state(counted, results, state, day, s).drop(THROUGH).write.mode("overwrite").parquet(f"{folder}/state/{THROUGH}={day}")
+    spark.createDataFrame([{**read.get, **given.get}], METRICS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/metrics/{THROUGH}={day}")
     return results
 
 

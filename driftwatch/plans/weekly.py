@@ -1,4 +1,4 @@
-"""The weekly job: fine-tune the forecasters, then write reports."""
+"""The weekly job: next versions of the baselines, then reports."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.config import DEFAULTS, KEY, Settings
-from driftwatch.models import gru
 from driftwatch.operators import baseline, report
 from driftwatch.operators.scoring import latest_baseline
 
@@ -14,15 +13,11 @@ from driftwatch.operators.scoring import latest_baseline
 def retrain(days: DataFrame, results: DataFrame, baselines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """A new baseline version for everyone with enough normal days; append it to the store.
 
-    Older versions stay, so going back is a matter of choosing an earlier one. Moving-average
-    and recurrent baselines may stand side by side; each is carried on in its own way.
+    Older versions stay, so going back is a matter of choosing an earlier one. Moving-average baselines are carried
+    on; those of other models are left as they are.
     """
     recent = baseline.finetune_days(days.filter("stored AND valid"), results.filter("saved AND is_deviation"), s)
-    newest = latest_baseline(baselines)
-    if "weights" not in baselines.columns:
-        return baseline.retrained(recent, newest, s)
-    tuned = gru.finetune(recent, newest, s)
-    return tuned.unionByName(baseline.retrained(recent, newest, s), allowMissingColumns=True)
+    return baseline.retrained(recent, latest_baseline(baselines), s)
 
 
 def weekly_reports(results: DataFrame, generated_at: str, s: Settings = DEFAULTS, week_end=None,

@@ -47,6 +47,21 @@ def test_days_in_groups_and_one_by_one_equal_the_whole_run(spark, table, tmp_pat
     assert cells(steps.run_days(table, str(tmp_path / "cut"), [day(i) for i in cuts], LOW)) == want
 
 
+def test_counts_of_a_run_are_written_with_it(spark, table, tmp_path):
+    folder = str(tmp_path / "s")
+    out = steps.run_days(table, folder, [day(14), day(29)], LOW)
+    got = [r.asDict() for r in spark.read.parquet(f"{folder}/metrics").orderBy(steps.THROUGH).drop(steps.THROUGH).collect()]
+    days = daily.labelled_days(table)
+    count = lambda df, where: df.filter(where).count()
+    want = []
+    for span in (f"date <= '{day(14)}'", f"date > '{day(14)}'"):
+        d, r = days.filter(span), out.filter(span)
+        want.append({"days": d.count(), "stored_days": count(d, "stored"), "valid_days": count(d, "valid"),
+                     "offline_days": count(d, "data_quality = 'offline'"), "results": r.count(), "saved": count(r, "saved"),
+                     "deviations": count(r, "saved AND is_deviation"), "raised": count(r, "risk_level > 0")})
+    assert got == want and want[0]["offline_days"] and want[1]["raised"]
+
+
 def test_a_day_run_again_gives_the_same(spark, table, tmp_path):
     folder = str(tmp_path / "s")
     steps.run_days(table, folder, [day(18), day(19)], LOW)
