@@ -140,15 +140,13 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter(f"{100 + SHARE} * size(array_intersect(x, y)) >= {SHARE} * (size(x) + size(y))").select("a", "b")
 
 
-def _sharing_rare(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) with unlike labels that can be linked by where their rarest shingles stand.
+def _rarest(sets: DataFrame) -> DataFrame:
+    """(row, n, item, left): places of a set's rarest shingles from which a link could still follow; a written table.
 
     Shingles that one set only has are left out: m of a set's n are elsewhere too. The others are ordered by how
     many sets have them, so that a passage of many documents comes last. Two linked sets share at least
     SHARE / (100 + SHARE) of both sizes together; so their first common shingle has at least as many places left
-    in either set. Only pairs with such a common shingle are formed: those that differ in enough places of their own,
-    or share frequent passages only, are never brought together. Of the sets that hold a shingle, those outside its
-    commonest label meet the others: most holders have one label, and so a shingle of k sets does not form k * k rows.
+    in either set.
     """
     spread = sets.select("row", F.size("items").alias("n"), F.explode("items").alias("item"))
     shared = spread.groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -156,12 +154,27 @@ def _sharing_rare(sets: DataFrame, labels: DataFrame) -> DataFrame:
     placed = (spread.join(shared, "item").withColumn("place", F.row_number().over(place))
               .withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("row")))
               .withColumn("left", F.col("m") - F.col("place") + 1).filter(f"100 * left >= {SHARE} * n"))
-    firsts = stored(placed.select("row", "n", "item", "left").join(labels, "row"), "rarest")
-    held = firsts.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c"))
-    most = held.groupBy("item").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-    firsts = firsts.join(most.filter("labels > 1").select("item", "most"), "item").withColumn("other", F.expr("label <> most"))
+    return stored(placed.select("row", "n", "item", "left"), "rarest")
+
+
+def _sharing_rare(rarest: DataFrame, labels: DataFrame, hubs: bool) -> DataFrame:
+    """Pairs (a, b) with unlike labels that can be linked by where their rarest shingles stand.
+
+    Only pairs with a first common shingle that leaves enough places are formed: those that differ in enough places of
+    their own, or share frequent passages only, are never brought together. Of the sets that hold a shingle, those
+    outside its commonest label meet the others. With ``hubs`` they meet one of the commonest label only: a first
+    pass that gives most of what belongs to one group the same label, so that the full one forms few pairs.
+    """
+    firsts = rarest.join(labels, "row")
+    held = firsts.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c"), F.max_by("row", F.struct("left", "row")).alias("hub"))
+    most = held.groupBy("item").agg(F.max_by(F.struct("label", "hub"), F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
+    firsts = firsts.join(most.filter("labels > 1").select("item", "m.label", "m.hub").toDF("item", "most", "hub"), "item")
+    firsts = firsts.withColumn("other", F.expr("label <> most"))
     side = lambda x: firsts.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "label", "n", "left", "other")])
-    return side("a").filter("other_a").join(side("b"), "item").where(
+    one, two = side("a").filter("other_a"), side("b")
+    if hubs:
+        two = firsts.filter("row = hub").select("item", *[F.col(c).alias(f"{c}_b") for c in ("row", "label", "n", "left", "other")])
+    return one.join(two, "item").where(
         f"label_a <> label_b AND (row_a < row_b OR NOT other_b) AND 100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b) AND "
         f"{100 + SHARE} * least(left_a, left_b) >= {SHARE} * (n_a + n_b)").select(
         F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
@@ -235,10 +248,14 @@ def near_groups(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     mixed = placed.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
     apart = stored(placed.join(mixed, "key").select("row", "label").distinct(), "apart")
     sets = _sets(apart, reps, docs, broadcast_rows)
-    second = stored(_likely(_sharing_rare(sets, apart).join(first, ["a", "b"], "left_anti"), reps), "pairs")
-    more = stored(_linked(second, sets), "links")
-    if not more.isEmpty():
-        labels = stored(joined_labels(labels, more), "labels")
+    rarest, compared = _rarest(sets), first
+    for hubs in (True, False):
+        pairs = stored(_likely(_sharing_rare(rarest, apart, hubs).join(compared, ["a", "b"], "left_anti"), reps), "pairs")
+        more = stored(_linked(pairs, sets), "links")
+        if not more.isEmpty():
+            labels = stored(joined_labels(labels, more), "labels")
+            apart = stored(apart.select("row").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "apart")
+        compared = compared.select("a", "b").union(pairs)
     labelled = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select(
         "doc_id", "row", "text_key", "n_shingles", F.coalesce("label", "rep").alias("label"))
     grouped = tree_merge(stored(labelled, "labels"), ["label"], ["doc_id", "row"], name="groups").select(
