@@ -119,3 +119,61 @@ def test_repeated_batches_of_the_split_change_nothing(spark):
     for n in range(2):                                       # a second checkpoint begins again with batch 0
         live.split_late(stream, out, f"{out}/state{n}", availableNow=True).awaitTermination()
     assert spark.read.parquet(f"{out}/on_time").count() == 2 and spark.read.parquet(f"{out}/late").count() == 1
+
+
+class Counted:
+    """State of one person in memory; every call is counted."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def _call(self, out=None):
+        self.calls += 1
+        return out
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+    get = lambda self: self._call(self.value)
+    exists = lambda self: self._call(self.value is not None)
+    update = lambda self, x: self._call(setattr(self, "value", x))
+    getValue = lambda self, k: self._call(self.map.get(k))
+    containsKey = lambda self, k: self._call(k in self.map)
+    updateValue = lambda self, k, x: self._call(self.map.update({k: x}))
+    removeKey = lambda self, k: self._call(self.map.pop(k, None))
+    clear = lambda self: self._call(self.map.clear())
+    registerTimer = lambda self, t: self._call(self.timers.add(t))
+    deleteTimer = lambda self, t: self._call(self.timers.discard(t))
+    listTimers = lambda self: self._call(iter(list(self.timers)))
+    getCurrentWatermarkInMs = lambda self: 0
+
+
+def run_state(few, batches, hours=(24, 4, 1)):
+    state, held, out, calls = stateful.TrailingBuckets(tuple(h * 3600 for h in hours), few=few), Counted(), {}, []
+    state.init(held)
+    for seconds in batches:
+        held.calls = 0
+        rows = [("a", None, s * 1_000_000, 1.0, float(s % 7), 0.0, 0.0, 0.0, 0.0, 0.0) for s in seconds]
+        out |= {(r[1], r[2]): (r[3], round(r[4], 6)) for r in state.handleInputRows(("a",), iter(rows), held)}
+        calls.append(held.calls)
+    return out, calls, held
+
+
+def test_a_batch_of_few_instants_reads_and_writes_one_value():
+    rnd = random.Random(3)
+    batches = [sorted(rnd.randrange(b * 40_000, (b + 1) * 40_000) for _ in range(12)) for b in range(5)]
+    out, calls, held = run_state(128, batches)
+    assert max(calls) <= 4 and len(held.timers) == 1      # read, old timer, new timer, write
+    seen = [s for b in batches for s in b]
+    for t in seen:
+        for h in (24, 4, 1):
+            near = [s for s in seen if t - h * 3600 <= s <= t]
+            assert out[t * 1_000_000, float(h)] == (len(near), sum(s % 7 for s in near))
+    cut, _, kept = run_state(3, batches)                   # the same from buckets, from the second batch or so on
+    assert cut == out and kept.map and not held.map
+
+
+def test_a_person_goes_from_few_instants_to_buckets():
+    batches = [[100, 5_000], [9_000, 9_100, 20_000, 30_000], [31_000]]
+    assert run_state(4, batches)[0] == run_state(128, batches)[0] == run_state(0, batches)[0]
