@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -32,17 +32,47 @@ def sliding_features(utterances: DataFrame, window: str = "24 hours", slide: str
 
     Rows are first added up into panes of one slide. Only panes, not rows, are then copied
     into the windows that hold them (48 at the default), and a person's state is one row per
-    pane, however much they speak.
+    pane, however much they speak. On a table panes are dealt out and windows are made after that.
     """
     sums = utterance_measures()
     panes = (utterances.withWatermark("ts", late)
              .groupBy(F.window("ts", slide).alias("pane"), KEY).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
-    wide = (panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"), KEY)
-            .agg(*[F.sum(n).alias(n) for n in sums]))
+    span, step = _micros(utterances, window), _micros(utterances, slide)
+    if utterances.isStreaming or span % step:
+        wide = (panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"), KEY)
+                .agg(*[F.sum(n).alias(n) for n in sums]))
+    else:
+        wide = _windows_of_panes(panes, list(sums), span, step)
     return wide.select(KEY, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                        *features_from_sums(digits))
 
 
+def _windows_of_panes(panes: DataFrame, sums: list[str], span: int, step: int) -> DataFrame:
+    """The windows of a table's panes: ``w`` and the sums. Only panes are dealt out, by person, a row each.
+
+    A window's panes change where one comes in and where one goes out, a window later. From one change to the next all
+    windows hold the same panes, so these are added up once a change, and the windows are written out at the end.
+    """
+    ends = panes.select(KEY, F.unix_micros("pane.end").alias("_end"), *sums).repartition(KEY)
+    changes = ends.select(KEY, *sums, F.explode(F.array(
+        F.struct(F.col("_end").alias("at"), F.lit(True).alias("comes")),
+        F.struct((F.col("_end") + span).alias("at"), F.lit(False).alias("comes")))).alias("_c"))
+    changes = changes.groupBy(KEY, F.col("_c.at").alias("_at")).agg(
+        *[F.max(F.when(F.col("_c.comes"), F.col(n))).alias(n) for n in sums])
+    order = Window.partitionBy(KEY).orderBy("_at")
+    held = changes.select(KEY, "_at", (F.lead("_at").over(order) - step).alias("_to"), *[
+        F.sum(n).over(order.rangeBetween(1 - span, Window.currentRow)).alias(n) for n in sums])
+    windows = held.filter(F.col(sums[0]).isNotNull()).select(KEY, *sums, F.explode(F.sequence("_at", "_to", F.lit(step))).alias("_at"))
+    at = lambda us: F.timestamp_micros(F.col("_at") - us)
+    return windows.select(KEY, *sums, F.struct(at(span).alias("start"), at(0).alias("end")).alias("w"))
+
+
+def _micros(df: DataFrame, length: str) -> int:
+    """A fixed length of time as a number."""
+    at = F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {length}")
+    return df.sparkSession.range(1).select(F.unix_micros(at)).first()[0]
+
+
 def counters(chunks: DataFrame, utterances: str = "utterances") -> DataFrame:
     """Chunks, utterances and seconds heard per person; works on a stream (complete or update)."""
     return chunks.groupBy(KEY).agg(

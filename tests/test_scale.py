@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from helpers import SF
 
 from driftwatch.operators.ordered import adjacent_sums, merge_runs, salted_join, trailing_sums
+from driftwatch.streaming import live
 
 EPOCH = dt.datetime(2026, 1, 1)
 
@@ -122,3 +123,19 @@ def test_rows_are_read_once_and_dealt_once(spark, name):
     assert plan.count("FileScan parquet") == scans
     dealt = [x for x in plan.split("\n") if "REPARTITION_BY_COL" in x and "ReusedExchange" not in x]
     assert len(dealt) == 1 and "rangepartitioning" not in plan
+
+
+def test_sliding_windows_of_a_table_deal_out_panes_only(spark):
+    """Nothing is dealt out once panes are copied into windows; the windows equal those that F.window makes of rows."""
+    rows = [(p, dt.datetime(2026, 3, 1) + dt.timedelta(minutes=m), 1.0 + m % 7, "sad" if m % 3 == 0 else "neutral", 3.0, 180.0 + m % 5)
+            for p, ms in (("a", (0, 10, 29, 30, 1439, 1440, 1470, 3000, 9000)), ("b", (700,)), ("c", range(0, 4000, 7))) for m in ms]
+    df = spark.createDataFrame(rows, "elder_id string, ts timestamp, duration_sec double, emotion string, speech_rate double, pitch_mean double")
+    for window in ("24 hours", "90 minutes", "30 minutes"):
+        got = live.sliding_features(df, window, digits=False)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        above = plan[:plan.index("Exchange")]
+        assert "Generate" in above and plan.count("Exchange hashpartitioning") == 2
+        want = df.groupBy(F.window("ts", window, "30 minutes").alias("w"), "elder_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("duration_sec").alias("s"))
+        assert (sorted((r[0], r[1], r[2], round(r[3], 6)) for r in got.select("elder_id", "window_start", "n_utterances", "total_duration").collect())
+                == sorted((r[0], r[1], r[2], round(r[3], 6)) for r in want.select("elder_id", "w.start", "n", "s").collect()))
