@@ -472,7 +472,8 @@ def cold_start_alerts(spark, d):
 
 @query
 def acute_levels(spark, d):
-    df = handoff.trailing_features(_utterances(spark, d), digits=False)
+    u = _utterances(spark, d)
+    df = handoff.with_ties_in_order(handoff.trailing_features(u, digits=False), u, risk.ACUTE_LIMITS)
     return tidy(df.select(KEY, "ts", risk.acute_level("demo").alias("demo_level"),
                           risk.acute_level("simple").alias("simple_level"),
                           risk.acute_level("config").alias("config_level")))

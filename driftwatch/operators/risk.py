@@ -155,6 +155,7 @@ def recommendation(level: Column, names: Column, streak: Column) -> Column:
 # Acute rules, opt-in. Each form: (level, limits of sad_ratio, avg_speed, distress).
 _ACUTE_CONFIG = [(3, 0.25, 3.5, 5), (2, 0.20, 3.8, 3), (1, 0.15, None, 2)]
 _ACUTE_SIMPLE = [(3, 0.25), (2, 0.20), (1, 0.15)]
+ACUTE_LIMITS = {"sad_ratio": (0.15, 0.20, 0.25, 0.30), "avg_speed": (3.5, 3.8)}  # of all forms
 
 
 def acute_level(form: str = "demo") -> Column:

@@ -204,3 +204,29 @@ def test_threshold_comparison(spark):
     assert got["fpr_reduction"] == 0.3334 and got["fpr_reduction_ratio"] == 2.0
     zero = metrics.compare_thresholds(df.filter("p <> 1.5"), "p", "g").first()
     assert np.isinf(zero["fpr_reduction_ratio"])
+
+
+def test_acute_levels_on_a_limit_follow_plain_sums_in_order_of_arrival(spark):
+    """Speech rates k / 12.5 whose mean is 3.8 (k: 47.5) up to the last digit, which the order of adding decides."""
+    import random
+
+    from driftwatch.plans import handoff
+
+    rnd, rows, want, start = random.Random(1), [], {}, dt.datetime(2026, 3, 1, 6)
+    for person in range(300):
+        n = rnd.choice((6, 8, 10))
+        k = [rnd.randrange(20, 76) for _ in range(n - 1)]
+        k += [round(47.5 * n) - sum(k)]
+        minutes = sorted(rnd.sample(range(0, 1400), n))
+        speed = dur = sad = 0.0
+        for i, (m, x) in enumerate(zip(minutes, k)):
+            rows.append((person, start + dt.timedelta(minutes=m), 3.0, "sad" if i % 3 == 0 else "neutral", x / 12.5, 200.0))
+            speed, dur, sad = speed + x / 12.5, dur + 3.0, sad + (3.0 if i % 3 == 0 else 0.0)
+        sad, speed = sad / dur, speed / n
+        want[person] = 3 if sad > .30 and speed < 3.5 else 2 if sad > .25 and speed < 3.8 else 1 if sad > .20 else 0
+    u = spark.createDataFrame(rows, "elder_id int, ts timestamp, duration_sec double, emotion string, speech_rate double, pitch_mean double")
+    arrivals = handoff.trailing_features(u, digits=False)
+    last = lambda df: {r[0]: r[1] for r in df.select("elder_id", F.struct("ts", risk.acute_level("demo").alias("level")).alias("s"))
+                       .groupBy("elder_id").agg(F.max_by("s.level", "s.ts")).collect()}
+    assert len(set(want.values())) > 1
+    assert last(handoff.with_ties_in_order(arrivals, u, risk.ACUTE_LIMITS)) == want != last(arrivals)
