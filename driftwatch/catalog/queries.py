@@ -359,28 +359,38 @@ def daily_results(spark, d):
     return _result_table(_results(spark, d, Settings()))
 
 
-def _stored_baselines(spark, *versions: DataFrame) -> DataFrame:
+def _stored_days(spark, d):
+    """Labelled days, worked out once for all that reads them."""
+    path = live.work_folder(spark, "days")
+    _days(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _stored_baselines(spark, first: DataFrame, later: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The table of ``first`` versions, and of the version that ``later`` makes of the stored ones."""
     path = live.work_folder(spark, "baselines")
-    for base in versions:
-        tables.append_baselines(base, path)
+    tables.append_baselines(first, path)
+    if later:
+        tables.append_baselines(later(spark.read.parquet(path)), path)
     return spark.read.parquet(path)
 
 
 @query
 def daily_results_stored(spark, d):
     """The daily job with baselines from the baseline table; equal to the job that makes them in passing."""
-    base = _stored_baselines(spark, daily.first_baselines(_days(spark, d)))
-    return _result_table(daily.daily_job(_daily(spark, d), Settings(), baselines=base))
+    days = _stored_days(spark, d)
+    base = _stored_baselines(spark, daily.first_baselines(days))
+    return _result_table(daily.judge_days(daily.score_days(days, base)))
 
 
 @query
 def daily_results_two_versions(spark, d):
     """A second version with half the static threshold, trained nine days later: days after it are judged by it, while
     the running state and the observation period go on from the first."""
-    first = daily.first_baselines(_days(spark, d)).withColumn("first_train_date", F.col("train_date"))
-    second = first.withColumns({"version": F.lit(2), "train_date": F.date_add("train_date", 9),
-                                "static_threshold": F.col("static_threshold") / 2})
-    return _result_table(daily.daily_job(_daily(spark, d), Settings(), baselines=_stored_baselines(spark, first, second)))
+    days = _stored_days(spark, d)
+    base = _stored_baselines(spark, daily.first_baselines(days), lambda first: first.withColumns({
+        "version": F.lit(2), "train_date": F.date_add("train_date", 9), "static_threshold": F.col("static_threshold") / 2}))
+    return _result_table(daily.judge_days(daily.score_days(days, base)))
 
 
 @query

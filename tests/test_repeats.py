@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from driftwatch.catalog import queries
 from driftwatch.config import DAY, RiskRule, Settings
 from driftwatch.operators import ewma, report, risk
 from driftwatch.plans import daily, weekly
@@ -122,3 +124,21 @@ def test_latest_snapshots_are_read_by_day(spark, tmp_path):
     assert [(r["date"], r["x"]) for r in one.collect()] == [(day(1), 12.0)]
     assert "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().toString().replace("\n", " ")
     assert live.read_latest(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("name", ["daily_results_stored", "daily_results_two_versions"])
+def test_jobs_with_stored_baselines_work_out_their_days_once(spark, monkeypatch, name):
+    daily, seen = queries._daily, spark.sparkContext.accumulator(0)
+
+    def counted(spark, d):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = daily(spark, d)
+        return rows.mapInArrow(run, rows.schema)
+
+    monkeypatch.setattr(queries, "_daily", counted)
+    # The features are read for the days themselves and for their last date.
+    assert queries.CATALOG[name](spark, SF).collect() and seen.value == 2 * daily(spark, SF).count()
