@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from driftwatch.config import DAY, KEY
 from driftwatch.operators.acoustic import features_from_sums, utterance_measures
 from driftwatch.session import work_folder
+from driftwatch.streaming import stateful
 
 SNAPSHOT_SECONDS = 1800  # fixed value: pause between snapshots
 LATE = "1 hour"
@@ -31,14 +32,17 @@ def sliding_features(utterances: DataFrame, window: str = "24 hours", slide: str
     """Acoustic features per person and sliding window, on a stream or a table.
 
     Rows are first added up into panes of one slide. Only panes, not rows, are then copied
-    into the windows that hold them (48 at the default), and a person's state is one row per
-    pane, however much they speak. On a table panes are dealt out and windows are made after that.
+    into the windows that hold them (48 at the default). On a table panes are dealt out and windows are made after
+    that. A stream's state is a row per open pane, and a value per person with the closed panes that windows to come
+    still reach (``stateful.sliding_windows``, which needs the RocksDB state store).
     """
     sums = utterance_measures()
     panes = (utterances.withWatermark("ts", late)
              .groupBy(F.window("ts", slide).alias("pane"), KEY).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
     span, step = _micros(utterances, window), _micros(utterances, slide)
-    if utterances.isStreaming or span % step:
+    if utterances.isStreaming and not span % step:
+        wide = stateful.sliding_windows(panes, span, step)
+    elif span % step:
         wide = (panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"), KEY)
                 .agg(*[F.sum(n).alias(n) for n in sums]))
     else:

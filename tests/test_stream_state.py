@@ -69,6 +69,28 @@ def test_horizons_over_batches_equal_brute_force(spark):
     assert any(n == 0 for n, _ in got.values())
 
 
+def test_sliding_windows_over_batches_equal_the_table_and_keep_a_value_a_person(spark):
+    rnd = random.Random(6)
+    batches = []
+    for b in range(6):
+        low = b * 9 * 3600
+        rows = [(rnd.choice("aaab"), low + rnd.randrange(9 * 3600)) for _ in range(40)]
+        batches.append(rows + [("a", low - 600), ("a", low - 600)] * (b > 0) + [("c", 0)] * (b == 0))
+    batches.append([("b", 60 * 3600)])      # the watermark ends at a window's end
+    stream, folder = arrive(spark, *batches), work_folder(spark, "sliding")
+    q = (live.sliding_features(stream, digits=False).writeStream.format("parquet").option("path", f"{folder}/out")
+         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.createDataFrame([(p, at(s), 1.0 + s % 7, "sad" if s % 3 == 0 else "neutral", 3.0 + s % 5, 180.0 + s % 11)
+                                  for b in batches for p, s in b], SCHEMA)
+    want = live.sliding_features(rows, digits=False).filter(F.col("window_end") <= F.lit(at(59 * 3600)))
+    six = [F.round(F.col(c) + 3e-8, 6).alias(c) if t == "double" else F.col(c) for c, t in want.dtypes]
+    got, want = (sorted(map(tuple, df.select(*six).collect())) for df in (spark.read.parquet(f"{folder}/out"), want))
+    assert got == want and max(r[2] for r in got) == at(59 * 3600)
+    # Each person has a value and a timer with its index; panes that are still open have a row.
+    assert sum(op.numRowsTotal for op in q.lastProgress.stateOperators) <= 3 * 3 + 1
+
+
 def test_silence_is_told_once_and_the_state_goes(spark):
     batches = [[("a", 0)], [("b", 3 * 3600)], [("b", 7 * 3600)], [("a", 30 * 3600), ("b", 30 * 3600)], [("b", 60 * 3600)]]
     got = result(live.run_available(stateful.trailing_horizons(arrive(spark, *batches), (4, 1), digits=False), "t"))
