@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.config import DAY, FEATURES, KEY, RISK_RULES, Settings
@@ -47,12 +47,18 @@ def query(fn: Query) -> Query:
 TIE_SHIFT = 3.3e-8
 
 
+def six_digits(x: Column) -> Column:
+    """``x`` to six digits by scaling, as SQL engines do. ``F.round(x, 6)`` rounds the shortest decimal text of ``x``, which
+    has no digits to spare in numbers of nine places before the point and so may go the wrong way."""
+    return F.round(x * 1e6) / 1e6
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Comparable output: rounded doubles, dates as text, instants in microseconds."""
     out = []
     for name, kind in df.dtypes:
         if kind == "double":
-            out.append(F.round(F.col(name) + TIE_SHIFT, 6).alias(name))
+            out.append(six_digits(F.col(name) + TIE_SHIFT).alias(name))
         elif kind == "date":
             out.append(F.col(name).cast("string").alias(name))
         elif kind == "timestamp":

@@ -230,3 +230,18 @@ def test_acute_levels_on_a_limit_follow_plain_sums_in_order_of_arrival(spark):
                        .groupBy("elder_id").agg(F.max_by("s.level", "s.ts")).collect()}
     assert len(set(want.values())) > 1
     assert last(handoff.with_ties_in_order(arrivals, u, risk.ACUTE_LIMITS)) == want != last(arrivals)
+
+
+def test_large_scores_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    from driftwatch.catalog.queries import six_digits, tidy
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.uniform(-1, 1, 3000) * 10.0 ** rng.integers(-3, 12, 3000),
+                        559887553.1151 + np.arange(3000) * 2.0 ** -23, [0.0, -0.0, 1e300, -4e-7, np.nan, np.inf]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double")
+    want = duckdb.sql("SELECT round(unnest($1), 6) + 0.0", params=[x.tolist()]).fetchnumpy()
+    got = [r.y for r in df.select("i", six_digits(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert np.array_equal(got, list(want.values())[0], equal_nan=True)
+    assert tidy(df.filter("x > 1e8 AND x < 1e9").select("x")).count() >= 3000
