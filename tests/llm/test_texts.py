@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -494,3 +495,17 @@ def test_languages(table, odd):
     assert all(r.held_out == held(i, 4) for i, r in got.items())
     assert language.languages(table([])).count() == 0
     assert language.languages(table([(1, "abc", None)])).first().lang_pred == language.NONE
+
+
+def test_pairs_are_deleted_once_they_are_scored(table, monkeypatch):
+    made = {}
+
+    def stored(df, name, keep=lm.stored):
+        made[name] = keep(df, name)
+        return made[name]
+
+    monkeypatch.setattr(lm, "stored", stored)
+    got = lm.scores(table([(i, f"some words w{i} and more") for i in range(20)]))
+    assert len(got.collect()) == len(got.collect()) == 20
+    folders = {name: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for name, df in made.items()}
+    assert {name for name, folder in folders.items() if not os.path.exists(folder)} == {"pairs"}
