@@ -38,6 +38,15 @@ def flat(exprs: Iterable[str | list[str]]) -> list[str]:
     return [e for x in exprs for e in ([x] if isinstance(x, str) else x)]
 
 
+def deviation(x: str, over: str = "") -> str:
+    """Population deviation of ``x``, also over the window ``over``.
+
+    The same as ``stddev_pop`` up to the last bit, where the two differ: each row adds ``(x - old mean) * (x - new mean)``, as
+    the SQL engine of the catalog does, so a value exactly at a limit falls on the same side in both.
+    """
+    return f"sqrt(covar_pop({x}, {x}){over})"
+
+
 def plus(terms: Iterable[str]) -> str:
     return "(" + " + ".join(terms) + ")"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.config import DAY, DEFAULTS, FEATURES, KEY, Settings
-from driftwatch.functions.text import BY_PERSON, add, array, each, num, weighted
+from driftwatch.functions.text import BY_PERSON, add, array, deviation, each, num, weighted
 from driftwatch.operators.ewma import fold_state
 
 EPS = 2.220446049250313e-16  # fixed value: spacing of doubles at 1
@@ -25,7 +25,7 @@ def fit_scaler(days: DataFrame) -> DataFrame:
     """Mean and scale of every feature per person."""
     g = days.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n_days"), *[F.expr(e) for e in each("avg({f}) AS mean_{f}")],
-        *[F.expr(e) for e in each("stddev_pop({f}) AS _std_{f}")])
+        *[F.expr(e) for e in each(deviation("{f}") + " AS _std_{f}")])
     return g.selectExpr(KEY, "n_days", *each("mean_{f}"),
                         *[scale_of(f"mean_{f}", f"_std_{f}", "n_days") + f" AS scale_{f}" for f in FEATURES])
 
@@ -57,7 +57,7 @@ def mark_windows(flagged: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     df = add(df, f"count(1) {kept} AS _n_past", each("avg({f}) " + kept + " AS _past_{f}"))
     df = add(df, "sum(int(_kept))" + own + " AS n_train_days",
              each("avg(CASE WHEN _kept THEN {f} END)" + own + " AS mean_{f}"),
-             each("stddev_pop(CASE WHEN _kept THEN {f} END)" + own + " AS _std_{f}"))
+             each(deviation("CASE WHEN _kept THEN {f} END", own) + " AS _std_{f}"))
     df = add(df, f"_kept AND _n_past = {s.window} AS is_window",
              [scale_of(f"mean_{f}", f"_std_{f}", "n_train_days") + f" AS scale_{f}" for f in FEATURES])
     df = add(df, each("CASE WHEN is_window THEN ({f} - _past_{f}) / scale_{f} END AS train_{f}"))
@@ -79,8 +79,8 @@ def own_baseline(windows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     keep = [c for c in windows.columns if c in (KEY, DAY, *FEATURES, "missing_raw", "missing_count", "data_quality",
                                                 "offline_alarm", "stored", "valid", "carry")]
     df = add(windows, "sum(int(is_window))" + own + " AS n_windows",
-             each("avg(abs(train_{f}))" + own + " AS _rm_{f}"), each("stddev_pop(abs(train_{f}))" + own + " AS _rs_{f}"),
-             each("avg(train_{f})" + own + " AS _sm_{f}"), each("stddev_pop(train_{f})" + own + " AS _ss_{f}"),
+             each("avg(abs(train_{f}))" + own + " AS _rm_{f}"), each(deviation("abs(train_{f})", own) + " AS _rs_{f}"),
+             each("avg(train_{f})" + own + " AS _sm_{f}"), each(deviation("train_{f}", own) + " AS _ss_{f}"),
              f"collect_list(CASE WHEN is_window THEN struct({DAY}, train_score) END){own} AS _scores")
     df = df.selectExpr(
         *keep, "_scores", "n_windows", "CAST(n_train_days AS BIGINT) AS n_train_days",
@@ -133,8 +133,8 @@ def recent_stats(recent: DataFrame, baselines: DataFrame, s: Settings = DEFAULTS
                each("({f} - _past_{f}) / scaler_scale[{i}] AS _d_{f}"))
     return rows.groupBy(KEY).agg(F.max(DAY).alias("tuned_on"), F.count(F.lit(1)).alias("n_windows"), *[
         F.expr(f"{array(t)} AS {n}") for n, t in (
-            ("resid_mean", "avg(abs(_d_{f}))"), ("resid_std", "stddev_pop(abs(_d_{f}))"), ("signed_mean", "avg(_d_{f})"),
-            ("signed_std", "stddev_pop(_d_{f})"))])
+            ("resid_mean", "avg(abs(_d_{f}))"), ("resid_std", deviation("abs(_d_{f})")), ("signed_mean", "avg(_d_{f})"),
+            ("signed_std", deviation("_d_{f}")))])
 
 
 def retrained(recent: DataFrame, baselines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.config import DAY, DEFAULTS, FEATURES, KEY, Settings
-from driftwatch.functions.text import add, each, num, weighted
+from driftwatch.functions.text import add, deviation, each, num, weighted
 from driftwatch.operators.asof import as_of_join
 from driftwatch.operators.ewma import ewma_states, ewma_std
 
@@ -24,7 +24,7 @@ def cold_start(days: DataFrame, s: Settings = DEFAULTS, keys: Sequence[str] = (K
     w = (f" OVER (PARTITION BY {', '.join(keys)} ORDER BY {DAY} ROWS BETWEEN {s.fallback_lookback} PRECEDING "
          "AND 1 PRECEDING)")
     df = add(days, f"count(1){w} AS hist_n", each("count({f})" + w + " AS _n_{f}"), each("avg({f})" + w + " AS _m_{f}"),
-             each("stddev_pop({f})" + w + " AS _s_{f}"))
+             each(deviation("{f}", w) + " AS _s_{f}"))
     ok = "_n_{f} >= 2 AND {f} IS NOT NULL AND _s_{f} >= " + num(FLAT)
     df = df.selectExpr(*days.columns, "hist_n",
                        *each("CASE WHEN " + ok + " THEN ({f} - _m_{f}) / _s_{f} ELSE 0D END AS z_{f}"))
