@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.config import DAY, DEFAULTS, FEATURES, KEY, Settings
-from driftwatch.functions.text import BY_PERSON, add, array, deviation, each, num, weighted
+from driftwatch.functions.text import BY_PERSON, add, array, deviation, each, num, plus, weighted
 from driftwatch.operators.ewma import fold_state
 
 EPS = 2.220446049250313e-16  # fixed value: spacing of doubles at 1
@@ -44,6 +44,14 @@ def scaler_report(baselines: DataFrame) -> DataFrame:
                         "s.scaler_scale AS scale", "s.scaler_mean IS NOT NULL AND s.scaler_scale IS NOT NULL AS fitted"))
 
 
+def mean_backwards(x: str, n: int, over: str) -> str:
+    """Mean of the ``n`` rows before each, the nearest added first: the order, and so the last bit, of the SQL's sums.
+
+    NULL where there are fewer.
+    """
+    return f"{plus(f'lag({x}, {k}) {over}' for k in range(1, n + 1))} / {num(n)}"
+
+
 def mark_windows(flagged: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Training windows: each clean enrolment day against the ``window`` clean rows before it.
 
@@ -52,9 +60,9 @@ def mark_windows(flagged: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     moving-average forecaster, and ``train_score`` the weighted absolute residual.
     """
     df = add(flagged, "enrol AND NOT outlier_day AND gate = 'ok' AS _kept")
-    own, kept = f" OVER ({BY_PERSON})", f"OVER ({BY_PERSON}, _kept ORDER BY {DAY} ROWS BETWEEN {s.window} PRECEDING "
-    kept += "AND 1 PRECEDING)"
-    df = add(df, f"count(1) {kept} AS _n_past", each("avg({f}) " + kept + " AS _past_{f}"))
+    own, kept = f" OVER ({BY_PERSON})", f"OVER ({BY_PERSON}, _kept ORDER BY {DAY}"
+    df = add(df, f"count(1) {kept} ROWS BETWEEN {s.window} PRECEDING AND 1 PRECEDING) AS _n_past",
+             each(mean_backwards("{f}", s.window, kept + ")") + " AS _past_{f}"))
     df = add(df, "sum(int(_kept))" + own + " AS n_train_days",
              each("avg(CASE WHEN _kept THEN {f} END)" + own + " AS mean_{f}"),
              each(deviation("CASE WHEN _kept THEN {f} END", own) + " AS _std_{f}"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.config import DAY, KEY
+from driftwatch.functions.text import deviation
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -94,7 +95,7 @@ def daily_vectors(utt: DataFrame) -> DataFrame:
         (F.sum(F.when(F.col("emotion") == "sad", dur).otherwise(0.0)) / F.nullif(F.sum(dur), F.lit(0.0)))
         .alias("sad_ratio"),
         F.avg("speech_rate").alias("avg_speed"),
-        F.when(n >= 2, F.stddev_pop("pitch_mean")).alias("pitch_variability"),
+        F.when(n >= 2, F.expr(deviation("pitch_mean"))).alias("pitch_variability"),
         among("sad", "angry", "fearful").cast("double").alias("distress_events"),
         (F.avg(F.least(dur, F.lit(10.0))) / 10.0).alias("sleep_efficiency"),
         (F.min(dur) / (F.max(dur) + 1)).alias("deep_sleep_ratio"),
