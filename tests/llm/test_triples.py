@@ -62,7 +62,7 @@ def test_levels_find_what_they_hold():
     rng = np.random.default_rng(4)
     for n, universe in ((0, 1 << 40), (1, 3), (60, 90), (70_000, 1 << 41)):
         v = np.unique(rng.integers(0, universe, n))
-        level = triples.Level.of(v, universe)
+        level = triples.Level.encode(v, universe)
         assert (level.find(v) == np.arange(len(v))).all()
         q = rng.integers(0, universe, 5000)
         at = np.minimum(np.searchsorted(v, q), max(len(v) - 1, 0))
